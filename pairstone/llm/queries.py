@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairstone.llm import bpe
+from pairstone.llm import bpe, ogg, token_fst
 from pairstone.llm.runtime import read_table
 
 
@@ -15,8 +15,18 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.media_report(read_table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_fst.count_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
+    "op2_ogg_media": op2_ogg_media,
+    "op4_token_counts": op4_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
