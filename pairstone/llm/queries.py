@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairstone.llm import bpe, ogg, token_fst
-from pairstone.llm.runtime import read_table
+from pairstone.llm import bpe, cuckoo, ogg, quality, token_fst, toxicity
+from pairstone.llm.runtime import crc_bucket, read_table
 
 
 def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,14 +20,45 @@ def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_report(read_table(spark, sf_dir, "documents"))
 
 
+def op3_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuckoo.copies(read_table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, text_sha256
+FROM (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
+WINDOW same AS (PARTITION BY text_sha256)
+"""
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_fst.count_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def with_fold(scored: DataFrame, modulus: int, held: int, *more: str) -> DataFrame:
+    """A scorer's rows with the mark of held-out ids; a null id is never held out."""
+    mark = F.coalesce(crc_bucket(F.col("doc_id"), modulus) == held, F.lit(False))
+    return scored.select("doc_id", mark.alias("held_out"), "score", "predicted", *more)
+
+
+def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return with_fold(quality.score_documents(docs, quality.fit(docs, labels, crc_bucket(F.col("doc_id"), 5) != 0)), 5, 0)
+
+
+def op6_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return with_fold(toxicity.score_documents(docs, toxicity.fit(docs, labels, crc_bucket(F.col("doc_id"), 4) != 2)), 4, 2, "offending")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_ogg_media": op2_ogg_media,
+    "op3_cuckoo_dedup": op3_cuckoo_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_quality_knn": op5_quality_knn,
+    "op6_toxicity_mil": op6_toxicity_mil,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_cuckoo_dedup": OP3_SQL}
