@@ -101,14 +101,52 @@ class OffsetTable:
         return self.data[at].tobytes()
 
 
-class WordBpe:
+class ChunkEncoder:
+    """Encodes texts string by string between white space, which no token crosses, and remembers the strings."""
+
+    def __init__(self, special: dict[str, int]):
+        self.special = special
+        self.splitter = re.compile("(" + "|".join(map(re.escape, special)) + ")")
+        self.spaces = re.compile(f"[{ranges_of(SPACE)}]+")
+        self.memo: dict[str, bytes] = {}
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each string."""
+        raise NotImplementedError
+
+    def _encode_plain(self, text: str) -> bytes:
+        chunks = text.split() if _ODD_SPACE.isdisjoint(text) else self.spaces.split(text)
+        memo = self.memo
+        ids = [*map(memo.get, chunks)]
+        if None in ids:
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+            missing = [*{chunk for chunk, found in zip(chunks, ids, strict=True) if found is None}]
+            new = dict(zip(missing, self.encode_chunks(missing), strict=True))
+            memo.update(new)
+            ids = [new[chunk] if found is None else found for chunk, found in zip(chunks, ids, strict=True)]
+        return b"".join(ids)
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        """All ids of a text; the strings of special tokens become their ids, as the library does by default."""
+        if not text:
+            return b""
+        if "<|" not in text:
+            return self._encode_plain(text)
+        return b"".join(self.special[x].to_bytes(4, "little") if x in self.special else self._encode_plain(x) for x in self.splitter.split(text))
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(self.encode_bytes(text), "<u4")
+
+
+class WordBpe(ChunkEncoder):
     """The encoder and decoder for a lower-casing BPE vocabulary with word ends (a tokenizers .json file)."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        super().__init__({x["content"]: x["id"] for x in spec["added_tokens"]})
         names = [""] * (1 + max([*vocab.values(), *self.special.values()]))
         for name, i in [*vocab.items(), *self.special.items()]:
             names[i] = name
@@ -131,11 +169,8 @@ class WordBpe:
         self.finder.make_automaton()
         self.names = OffsetTable([f"{x} ".encode() for x in names])
         self.digits = OffsetTable([f"{i} ".encode() for i in range(len(names))])
-        self.splitter = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         letter, number, space = map(ranges_of, (LETTER, NUMBER, SPACE))
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+")
-        self.spaces = re.compile(f"[{space}]+")
-        self.memo: dict[str, bytes] = {}  # strings between white space
         self.word_memo: dict[str, bytes] = {}
 
     def encode_symbols(self, symbols: str) -> list[int]:
@@ -182,29 +217,8 @@ class WordBpe:
             memo.clear()
         return b"".join(out)
 
-    def _encode_plain(self, text: str) -> bytes:
-        chunks = text.split() if _ODD_SPACE.isdisjoint(text) else self.spaces.split(text)
-        memo = self.memo
-        ids = [*map(memo.get, chunks)]
-        if None in ids:
-            for i, found in enumerate(ids):
-                if found is None:
-                    chunk = chunks[i]
-                    ids[i] = memo[chunk] = memo.get(chunk) or self._encode_chunk(chunk)
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-        return b"".join(ids)
-
-    def encode(self, text: str | None) -> np.ndarray:
-        """All ids of a text; the strings of special tokens become their ids, as the library does by default."""
-        if not text:
-            return np.empty(0, "<u4")
-        if "<|" in text:
-            parts = self.splitter.split(text)
-            data = b"".join(self.special[x].to_bytes(4, "little") if x in self.special else self._encode_plain(x) for x in parts)
-        else:
-            data = self._encode_plain(text)
-        return np.frombuffer(data, "<u4")
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        return [*map(self._encode_chunk, chunks)]
 
     def decode(self, ids: np.ndarray) -> str:
         """The names of the tokens with spaces between: the file names no decoder that would join them."""

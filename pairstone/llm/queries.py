@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairstone.llm import bpe, cuckoo, ogg, quality, token_fst, toxicity
+from pairstone.llm import bpe, cuckoo, line_dedup, ogg, packing, quality, token_fst, toxicity
 from pairstone.llm.runtime import crc_bucket, read_table
 
 
@@ -52,6 +52,33 @@ def op6_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_fold(toxicity.score_documents(docs, toxicity.fit(docs, labels, crc_bucket(F.col("doc_id"), 4) != 2)), 4, 2, "offending")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(read_table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+places AS (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS place FROM docs WHERE len(lines) >= 3),
+windows AS (
+    SELECT doc_id, place, lines[place + 1 : place + 3] AS w
+    FROM places WHERE regexp_matches(concat(lines[place + 1], lines[place + 2], lines[place + 3]), '[^\s]')
+),
+ranked AS (SELECT doc_id, place, row_number() OVER (PARTITION BY w ORDER BY doc_id, place) AS nth FROM windows),
+gone AS (
+    SELECT doc_id, list_sort(list_distinct(list(line))) AS lines_gone
+    FROM (SELECT doc_id, unnest(range(place, place + 3)) AS line FROM ranked WHERE nth > 1) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.lines) AS n_lines, coalesce(len(g.lines_gone), 0) AS n_removed,
+       coalesce(array_to_string(g.lines_gone, ','), '') AS removed,
+       sha256(coalesce(array_to_string(list_filter(d.lines, lambda x, i: NOT coalesce(list_contains(g.lines_gone, i - 1), false)), chr(10)), '')) AS kept_sha256
+FROM docs d LEFT JOIN gone g ON g.doc_id = d.doc_id
+"""
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_ogg_media": op2_ogg_media,
@@ -59,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_quality_knn": op5_quality_knn,
     "op6_toxicity_mil": op6_toxicity_mil,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_cuckoo_dedup": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_cuckoo_dedup": OP3_SQL, "op7_line_dedup": OP7_SQL}
