@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -45,12 +46,31 @@ def map_rows(docs: DataFrame, fn: Callable[[list], dict[str, list]], schema: str
     return texts(docs).mapInArrow(run, f"doc_id long, {schema}")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; a local one only where none is named, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/pairstone-checkpoints"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of spark.checkpoint.dir; a local default serves tests only."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/pairstone-checkpoints")
-    return df.checkpoint()
+    """Cut the lineage: write df as a table in the shared folder and read it again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/pairstone-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of ids that a broadcast may hold: a few MB.
+BROADCAST_ROWS = 200_000
+
+
+def small_enough(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it has at most BROADCAST_ROWS rows; otherwise the join shuffles. df should be checkpointed."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def apart(*columns: str) -> Column:
+    """A join key that no earlier exchange knows, so that both sides get plain exchanges, which AQE can split where a key is hot."""
+    return F.struct(*columns)
 
 
 def crc_bucket(doc_id: Column, modulus: int) -> Column:
