@@ -264,6 +264,17 @@ def near_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, text_id (smallest id with the same text), group_id (smallest id of its group), kept."""
+    return _grouped(docs).drop("digest")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, of which each group keeps its smallest id."""
+    gone = checkpointed(_grouped(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_ps_id"), F.col("digest").alias("_ps_digest")).distinct())
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    return docs.join(small_enough(gone), F.col("doc_id").cast("long").eqNullSafe(F.col("_ps_id")) & (digest == F.col("_ps_digest")), "left_anti")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     table, documents = idf_table(texts(docs))
@@ -281,4 +292,4 @@ def near_groups(docs: DataFrame) -> DataFrame:
     more = verify(docs, near_pairs(members, roots), idf)
     roots = components(links.unionByName(more))
     of_text = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(apart("digest").alias("same"), F.col("rep").alias("text_id"), F.coalesce("root", "rep").alias("group_id"))
-    return signed.select("doc_id", apart("digest").alias("same")).join(of_text.hint("merge"), "same").select("doc_id", "text_id", "group_id", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
+    return signed.select("doc_id", "digest", apart("digest").alias("same")).join(of_text.hint("merge"), "same").select("doc_id", "digest", "text_id", "group_id", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))

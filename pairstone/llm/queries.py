@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairstone.llm import bpe, cuckoo, icws, line_dedup, ogg, packing, quality, token_fst, toxicity
+from pairstone.llm import bpe, cuckoo, icws, line_dedup, ogg, packing, pii, quality, token_fst, toxicity
 from pairstone.llm.runtime import crc_bucket, read_table
 
 
@@ -83,6 +83,10 @@ def op10_icws_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return icws.near_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op9_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_ogg_media": op2_ogg_media,
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity_mil": op6_toxicity_mil,
     "op7_line_dedup": op7_line_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_pii_bootstrap": op9_pii_bootstrap,
     "op10_icws_minhash": op10_icws_minhash,
 }
 
