@@ -20,11 +20,11 @@ Null and empty texts have no spans. Rows repeated with the same doc_id and text
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairstone.llm.runtime import apart, checkpointed, prepare, small_enough
@@ -214,11 +214,15 @@ def added_spans(found: DataFrame) -> DataFrame:
     return fresh.join(accepted.hint("merge"), "key", "left_semi").select("doc_id", "text_key", "start", "kind", "end").distinct()
 
 
-def _rendered(spans) -> F.Column:
+def _rendered(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _is_kind(kind: int) -> Callable[[Column], Column]:
+    return lambda span: span["kind"] == kind
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans by kind, the digest of the base spans, and all spans."""
     found = checkpointed(extract(docs))
@@ -227,7 +231,7 @@ def report(docs: DataFrame) -> DataFrame:
     joined = found.select("doc_id", "text_key", "base").join(added, F.col("doc_id").eqNullSafe(F.col("_ps_id")) & (F.col("text_key") == F.col("_ps_key")), "left")
     none = F.array().cast(f"array<{_SPAN}>")
     every = F.array_sort(F.concat("base", F.coalesce("added", none)))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.size(F.filter("base", _is_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return joined.select("doc_id", *counts, F.sha2(_rendered(F.col("base")), 256).alias("base_sha256"), _rendered(every).alias("spans"), F.size(F.coalesce("added", none)).cast("long").alias("n_added"))
 
 
