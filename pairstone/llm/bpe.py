@@ -104,6 +104,8 @@ class OffsetTable:
 class ChunkEncoder:
     """Encodes texts string by string between white space, which no token crosses, and remembers the strings."""
 
+    memo_words = MEMO_WORDS
+
     def __init__(self, special: dict[str, int]):
         self.special = special
         self.splitter = re.compile("(" + "|".join(map(re.escape, special)) + ")")
@@ -119,7 +121,7 @@ class ChunkEncoder:
         memo = self.memo
         ids = [*map(memo.get, chunks)]
         if None in ids:
-            if len(memo) > MEMO_WORDS:
+            if len(memo) > self.memo_words:
                 memo.clear()
             missing = [*{chunk for chunk, found in zip(chunks, ids, strict=True) if found is None}]
             new = dict(zip(missing, self.encode_chunks(missing), strict=True))

@@ -37,7 +37,10 @@ PACKED = f"{PIECES}, sequence_id long, offset long"
 
 
 class LibraryEncoder(ChunkEncoder):
-    """Ids by the tokenizers library, which sees each string between white space once."""
+    """Ids by the tokenizers library, which sees each string between white space once while it is remembered."""
+
+    #: About 300 MB in a worker.
+    memo_words = 1_500_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
