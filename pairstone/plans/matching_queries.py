@@ -74,7 +74,7 @@ def rank_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.ranked(m.possible_pairs(spark, sf_dir), TOP, "d")
 
 
-FLAGSHIP_RECIPIENT, FLAGSHIP_TOP = 1, 10
+FLAGSHIP_RECIPIENT, FLAGSHIP_TOP = 31, 10
 
 
 @query(sql.ranking("recipient", "donor", FLAGSHIP_TOP, f"recipient = {FLAGSHIP_RECIPIENT}"))
