@@ -9,11 +9,10 @@ size of the corpus, as only shares of documents enter.
 Texts that are equal are one text from here on. Each text has HASHES consistent weighted samples,
 in BANDS bands of ROWS; texts that agree in a band meet. In each meeting the smallest id is held
 against all others: the pairs are verified by the exact weighted Jaccard similarity of the whole
-texts, and verified links are closed to groups by spreading smallest ids. What a meeting still
-holds in different groups then is compared further, in blocks of samples, so that a link between
-two texts isn't lost because the smallest id of their meeting resembles neither: only pairs whose
-samples agree as similar texts' do come out of the blocks, and they are verified like the others.
-No meeting's pairs are all emitted, and a meeting whose texts are in one group costs nothing more.
+texts, and verified links are closed to groups by spreading smallest ids. Meetings that then still
+hold different groups are gone through again, in rounds of ever narrower meetings: small ones are
+compared whole, in large ones the hub is held against the rest (see open_pairs). So the pairs grow
+with the documents, not with the square of a group, and a meeting whose texts are in one group costs nothing more.
 
 Null counts as the empty text; equal texts (also empty ones) are one group; texts without words
 resemble no other text. Rows repeated with the same doc_id are in one group. A null doc_id is in
@@ -27,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairstone.llm.runtime import apart, checkpointed, prepare, small_enough, texts
@@ -39,8 +38,10 @@ HASHES = BANDS * ROWS
 IDF_BITS, LEVELS = 18, 1 << 16
 #: Samples that must agree before a pair of a large meeting is verified; a pair at the threshold has 20 or more of 36 in 999 of 1000 cases.
 LEAST_AGREEING = 20
-#: Shingles sampled at once; members in a block of a meeting.
-BATCH, BLOCK = 1 << 16, 64
+#: Shingles sampled at once.
+BATCH = 1 << 16
+#: Members up to which a meeting is compared whole; rounds of ever narrower meetings for what larger ones leave open.
+SMALL, NARROWINGS = 16, 2
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _MEMO_WORDS = 400_000
@@ -143,7 +144,8 @@ def idf_table(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def idf_weights(table: np.ndarray, documents: int) -> np.ndarray:
-    return (np.log((1 + documents) / (1 + table)) + 0.1).astype(np.float32)
+    """1 for a bucket that every document has, more for rarer ones, by the share of documents alone."""
+    return (1 + np.log((1 + documents) / (1 + table)) / (IDF_BITS * np.log(2))).astype(np.float32)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> float:
@@ -230,36 +232,54 @@ def components(links: DataFrame) -> DataFrame:
         state = seen
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From two blocks of a meeting, the pairs of different groups whose samples agree often enough."""
+def _meetings(signed: DataFrame, level: int) -> DataFrame:
+    """key, rep, signature: the meetings of a level. There, level + 1 neighbouring bands (in a ring) have to agree."""
+    width = 4 * ROWS
+    ring = F.concat("signature", "signature")
+    keys = F.array(*[F.xxhash64(F.lit(k), F.substring(ring, k * width + 1, (level + 1) * width)) for k in range(BANDS)])
+    return signed.select(F.explode(keys).alias("key"), "rep", "signature")
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From small meetings, all pairs of different groups whose samples agree often enough."""
     for batch in batches:
         out: set[tuple[int, int]] = set()
-        for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-            x, y = (np.frombuffer(b"".join(m["signature"] for m in part), "<u4").reshape(len(part), HASHES) for part in (left, right))
-            agree = (x[:, None, :] == y[None, :, :]).sum(2) >= LEAST_AGREEING
+        for members in batch.column("members").to_pylist():
+            x = np.frombuffer(b"".join(m["signature"] for m in members), "<u4").reshape(len(members), HASHES)
+            agree = np.triu((x[:, None, :] == x[None, :, :]).sum(2) >= LEAST_AGREEING, 1)
             for i, j in zip(*np.nonzero(agree), strict=True):
-                if left[i]["root"] != right[j]["root"]:
-                    a, b = left[i]["rep"], right[j]["rep"]
+                if members[i]["root"] != members[j]["root"]:
+                    a, b = members[i]["rep"], members[j]["rep"]
                     out.add((min(a, b), max(a, b)))
         rows = sorted(out)
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
 
 
-def near_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) still to be verified in meetings that hold more than one group.
+def _samples_agreeing(one: Column, two: Column) -> Column:
+    return sum(((F.substring(one, 4 * k + 1, 4) == F.substring(two, 4 * k + 1, 4)).cast("int") for k in range(HASHES)), F.lit(0))
 
-    members: key, rep, signature. A member outside the group of its meeting's smallest id is held
-    against all members of the meeting, block by block.
+
+def open_pairs(signed: DataFrame, roots: DataFrame, level: int) -> DataFrame:
+    """Pairs (a, b) still to be verified in the meetings of a level that hold more than one group.
+
+    Meetings of at most SMALL members are compared whole. In a larger one the hub, the member that
+    has most of the meeting's commonest samples, is held against all members outside its group: copies
+    that each differ from a common original in places of their own resemble the original, not each
+    other. Either way the pairs grow with the members, not with their square.
     """
+    members = _meetings(signed, level)
     grouped = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.min(F.struct("rep", "root")).alias("center")).where("low <> high")
-    mixed = mixed.select(apart("key").alias("meeting"), F.col("center.root").alias("center_root"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    inside = checkpointed(grouped.withColumn("meeting", apart("key")).join(mixed.hint("merge"), "meeting").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))))
+    mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select(apart("key").alias("meeting"), "n")
+    inside = checkpointed(grouped.withColumn("meeting", apart("key")).join(mixed.hint("merge"), "meeting").select("meeting", "n", "rep", "root", "signature"))
     member = F.struct("rep", "root", "signature")
-    every = inside.groupBy("meeting", "block").agg(F.collect_list(member).alias("right"))
-    loose = inside.where(F.col("root") != F.col("center_root")).groupBy("meeting", "block").agg(F.collect_list(member).alias("left"))
-    blocks = loose.select(F.struct("meeting").alias("m"), "left").join(every.select(F.struct("meeting").alias("m"), "right").hint("merge"), "m")
-    return blocks.select("left", "right").mapInArrow(_agreeing, "a long, b long").distinct()
+    small = inside.where(F.col("n") <= SMALL).groupBy("meeting").agg(F.collect_list(member).alias("members")).select("members").mapInArrow(_whole, "a long, b long")
+    large = inside.where(F.col("n") > SMALL)
+    commonest = large.groupBy("meeting").agg(F.concat(*[F.mode(F.substring("signature", 4 * k + 1, 4), deterministic=True) for k in range(HASHES)]).alias("commonest"))
+    rated = large.withColumn("at", F.struct("meeting")).join(commonest.select(F.struct("meeting").alias("at"), "commonest").hint("merge"), "at")
+    hubs = rated.groupBy("meeting").agg(F.max(F.struct(_samples_agreeing(F.col("signature"), F.col("commonest")).alias("agreeing"), (-F.col("rep")).alias("first"), member.alias("hub"))).alias("best"))
+    held = large.withColumn("at", F.struct("meeting")).join(hubs.select(F.struct("meeting").alias("at"), F.col("best.hub").alias("hub")).hint("merge"), "at")
+    stars = held.where((F.col("root") != F.col("hub.root")) & (_samples_agreeing(F.col("signature"), F.col("hub.signature")) >= LEAST_AGREEING))
+    return small.unionByName(stars.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))).distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -281,15 +301,16 @@ def _grouped(docs: DataFrame) -> DataFrame:
     idf = spark.sparkContext.broadcast(idf_weights(table, documents))  # 2**IDF_BITS floats
     signed = checkpointed(sign(docs, idf))
     classes = checkpointed(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")))
-    width = 4 * ROWS
-    band_keys = F.array(*[F.xxhash64(F.lit(k), F.substring("signature", k * width + 1, width)) for k in range(BANDS)])
-    members = classes.where(F.col("rep").isNotNull() & F.col("signature").isNotNull()).select(F.explode(band_keys).alias("key"), "rep", "signature")
-    narrow = members.select("key", "rep")
+    reps = classes.where(F.col("rep").isNotNull() & F.col("signature").isNotNull()).select("rep", "signature")
+    narrow = _meetings(reps, 0).select("key", "rep")
     centers = narrow.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).where("a <> top").select(apart("key").alias("meeting"), "a")
     stars = narrow.withColumn("meeting", apart("key")).join(centers.hint("merge"), "meeting").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     links = checkpointed(verify(docs, stars, idf))
     roots = components(links)
-    more = verify(docs, near_pairs(members, roots), idf)
-    roots = components(links.unionByName(more))
+    for level in range(NARROWINGS):
+        more = checkpointed(verify(docs, open_pairs(reps, roots, level), idf))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(links)
     of_text = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(apart("digest").alias("same"), F.col("rep").alias("text_id"), F.coalesce("root", "rep").alias("group_id"))
     return signed.select("doc_id", "digest", apart("digest").alias("same")).join(of_text.hint("merge"), "same").select("doc_id", "digest", "text_id", "group_id", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
