@@ -36,6 +36,9 @@ BANDS, ROWS = 12, 3
 HASHES = BANDS * ROWS
 #: Buckets of document frequencies, and levels of the random variates.
 IDF_BITS, LEVELS = 18, 1 << 16
+#: What a bucket of one in 2**IDF_BITS documents weighs more than one of all. With more, the words that a large
+#: group of copies shares would weigh so little that its copies no longer resemble each other.
+IDF_STRENGTH = 0.25
 #: Samples that must agree before a pair of a large meeting is verified; a pair at the threshold has 20 or more of 36 in 999 of 1000 cases.
 LEAST_AGREEING = 20
 #: Shingles sampled at once.
@@ -145,7 +148,7 @@ def idf_table(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def idf_weights(table: np.ndarray, documents: int) -> np.ndarray:
     """1 for a bucket that every document has, more for rarer ones, by the share of documents alone."""
-    return (1 + np.log((1 + documents) / (1 + table)) / (IDF_BITS * np.log(2))).astype(np.float32)
+    return (1 + IDF_STRENGTH * np.log((1 + documents) / (1 + table)) / (IDF_BITS * np.log(2))).astype(np.float32)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> float:
