@@ -27,6 +27,7 @@ NO_LEVEL = 99
 BUCKETS = ("RANKED", "PROVISIONAL_ABO", "INSUFFICIENT_HLA", "INSUFFICIENT_ABO", "ABO_INCOMPATIBLE", "BLOCKED_DSA_OR_LAB_REVIEW", "BLOCKED_POSITIVE_CROSSMATCH", "EXCLUDED_NON_CLINICAL")
 DONATES_TO = {"O": ("O", "A", "B", "AB"), "A": ("A", "AB"), "B": ("B", "AB"), "AB": ("AB",)}
 POLICY = "PAIR_SCREEN_2"
+SALTS = 8
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,12 +85,15 @@ def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def possible_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only pairs whose groups fit: an equi-join on the groups that a donor may give to, no nested loop."""
+    """Only pairs whose groups fit: an equi-join on the groups that a donor may give to, no nested loop.
+
+    There are four groups, so the donors of each are dealt over SALTS parts, and the recipients meet every part.
+    """
     everyone = profiles(spark, sf_dir).withColumn("group", F.upper(F.trim("abo")))
     to = F.create_map(*[x for g, t in DONATES_TO.items() for x in (F.lit(g), F.array(*map(F.lit, t)))])
-    donors = everyone.where(F.col("side") == "D").where(F.col("group").isin(*DONATES_TO)).select(F.explode(to[F.col("group")]).alias("target"), F.struct("*").alias("d"))
-    recipients = everyone.where("side = 'R'").select(F.col("group").alias("target"), F.struct("*").alias("r"))
-    return recipients.join(donors, "target").drop("target")
+    donors = everyone.where(F.col("side") == "D").where(F.col("group").isin(*DONATES_TO)).select(F.explode(to[F.col("group")]).alias("target"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"), F.struct("*").alias("d"))
+    recipients = everyone.where("side = 'R'").select(F.col("group").alias("target"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.struct("*").alias("r"))
+    return recipients.join(donors, ["target", "salt"]).drop("target", "salt")
 
 
 def scored(pairs: DataFrame, anchor: str = "r") -> DataFrame:
