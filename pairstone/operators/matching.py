@@ -145,3 +145,32 @@ def ranked(pairs: DataFrame, k: int, anchor: str = "r") -> DataFrame:
     keep = scored(pairs, anchor).where(F.col("bucket") <= 1).select(F.col(anchor)["key"].alias("anchor"), F.col(candidate)["key"].alias("candidate"), *SORT_KEY)
     place = F.row_number().over(W.partitionBy("anchor").orderBy(*SORT_KEY))
     return keep.withColumn("place", place).where(F.col("place") <= k)
+
+#: What comes next for each bucket, in their order.
+NEXT_ACTION = ("proceed to clinical evaluation", "obtain a laboratory blood group", "obtain HLA typing", "obtain a laboratory blood group", "not a candidate on the direct pathway", "laboratory review", "direct pathway blocked", "none")
+
+
+def explained(rows: DataFrame) -> DataFrame:
+    """An explanation for each scored pair, from the columns that the order uses and nothing else."""
+    d, r = F.col("d"), F.col("r")
+    cell = lambda x: F.concat(F.lit(f"{x}="), F.col(f"mm_{x}.status"), F.coalesce(F.concat(F.lit("["), F.col(f"mm_{x}.lower").cast("string"), F.lit("-"), F.col(f"mm_{x}.upper").cast("string"), F.lit("]")), F.lit("")))
+    blockers = F.concat_ws(
+        ",",
+        F.when(~(d["eligible"] & r["eligible"]), "eligibility"),
+        F.when((d["crossmatch"] == "POSITIVE") | (r["crossmatch"] == "POSITIVE"), "crossmatch"),
+        F.when(r["dsa"], "dsa"),
+        F.when(F.col("abo_gate") == "INCOMPATIBLE", "abo"),
+    )
+    action = F.element_at(F.array(*map(F.lit, NEXT_ACTION)), F.col("bucket") + 1)
+    same = [F.when((r[x]["typing"] == alleles.BOTH) & (F.size(F.array_distinct(r[x]["alleles"])) == 1), x) for x in ("DRB1", "DQB1", "A", "B")]
+    unreachable = F.when((F.col("level") != 1) & (F.col("mm_DRB1.upper") == 0) & (F.col("mm_B.upper") == 0), F.coalesce(F.concat(F.col("mm_A.upper").cast("string"), F.lit(" mismatches at A")), F.lit("A unknown")))
+    return rows.select(
+        d["key"].alias("donor"),
+        r["key"].alias("recipient"),
+        "bucket",
+        F.concat_ws(";", *[cell(x) for x in LOCI]).alias("mismatches"),
+        F.when(F.col("bucket") >= 4, blockers).otherwise("").alias("blockers"),
+        F.coalesce(unreachable, F.lit("")).alias("first_level_unreachable"),
+        F.concat_ws(",", *same).alias("same_alleles"),
+        action.alias("next_action"),
+    )

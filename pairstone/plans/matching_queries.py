@@ -118,3 +118,38 @@ def genotype_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = counts.groupBy("locus").agg(F.sum("n").alias("documents"), F.count("*").alias("distinct_genotypes"), F.sum(F.col("n") * F.col("n")).alias("squares"))
     n2 = F.col("documents") * F.col("documents")
     return total.where("documents >= 500").select("locus", "documents", "distinct_genotypes", F.round(F.col("squares") / n2, 6).alias("match_probability"), F.round(n2 / F.col("squares")).alias("one_in"))
+
+
+_CELLS = " || ';' || ".join(f"'{x}=' || s_{x} || coalesce('[' || l_{x} || '-' || u_{x} || ']', '')" for x in ("A", "B", "C", "DRB1", "DQB1"))
+_SAME = ", ".join(f"max(CASE WHEN locus = '{x}' AND typing = 'BOTH' AND len(list_distinct(alleles)) = 1 THEN '{x}' END)" for x in ("DRB1", "DQB1", "A", "B"))
+
+
+@query(
+    sql.with_(sql.PEOPLE, sql.PARSED, sql.MISMATCHES, sql.SCORED)
+    + f""", twins AS (SELECT key, concat_ws(',', {_SAME}) AS same_alleles FROM parsed WHERE side = 'R' GROUP BY key)
+SELECT donor, recipient, bucket, {_CELLS} AS mismatches,
+       CASE WHEN bucket >= 4 THEN concat_ws(',', CASE WHEN NOT eligible THEN 'eligibility' END, CASE WHEN positive THEN 'crossmatch' END, CASE WHEN dsa THEN 'dsa' END, CASE WHEN abo_gate = 'INCOMPATIBLE' THEN 'abo' END) ELSE '' END AS blockers,
+       CASE WHEN coalesce(level <> 1 AND u_DRB1 = 0 AND u_B = 0, false) THEN coalesce(u_A || ' mismatches at A', 'A unknown') ELSE '' END AS first_level_unreachable,
+       same_alleles, ({list(m.NEXT_ACTION)})[bucket + 1] AS next_action
+FROM scored JOIN twins ON twins.key = recipient WHERE donor < 5"""
+)
+def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each recipient's pairs with the first five donors stand where they do; a report, hence few donors."""
+    return m.explained(m.scored(m.all_pairs(spark, sf_dir).where(F.col("d.key") < 5)))
+
+
+@query(
+    sql.with_(sql.PEOPLE, sql.PARSED, sql.MISMATCHES, sql.SCORED)
+    + """, r AS (SELECT recipient, count(*) AS n FROM scored WHERE bucket <= 1 GROUP BY recipient),
+h AS (SELECT n, count(*) AS people FROM r GROUP BY n), c AS (SELECT *, sum(people) OVER (ORDER BY n) AS upto, sum(people) OVER () AS total FROM h)
+SELECT min(n) AS least, min(n) FILTER (upto > total // 2) AS upper_median, max(n) AS most FROM c"""
+)
+def pool_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least, upper median and most ranked candidates of a recipient, from the histogram of counts, not from a sorted list."""
+    per = m.scored(m.possible_pairs(spark, sf_dir)).where("bucket <= 1").groupBy("r.key").agg(F.count("*").alias("n"))
+    bins = per.groupBy("n").agg(F.count("*").alias("people"))
+    ordered = F.array_sort(F.collect_list(F.struct("n", "people")))  # one entry for each different count
+    total = F.sum("people")
+    one = bins.agg(ordered.alias("h"), total.alias("total"))
+    upto = F.filter(F.transform(F.sequence(F.lit(1), F.size("h")), lambda i: F.struct(F.element_at("h", i)["n"].alias("n"), F.aggregate(F.slice("h", 1, i), F.lit(0).cast("long"), lambda a, b: a + b["people"]).alias("upto"))), lambda x: x["upto"] > F.floor(F.col("total") / 2))
+    return one.select(F.get("h", F.lit(0))["n"].alias("least"), F.get(upto, F.lit(0))["n"].alias("upper_median"), F.element_at("h", -1)["n"].alias("most"))
