@@ -9,10 +9,11 @@ size of the corpus, as only shares of documents enter.
 Texts that are equal are one text from here on. Each text has HASHES consistent weighted samples,
 in BANDS bands of ROWS; texts that agree in a band meet. In each meeting the smallest id is held
 against all others: the pairs are verified by the exact weighted Jaccard similarity of the whole
-texts, and verified links are closed to groups by spreading smallest ids. Meetings that then still
-hold different groups are gone through again, in rounds of ever narrower meetings: small ones are
-compared whole, in large ones the hub is held against the rest (see open_pairs). So the pairs grow
-with the documents, not with the square of a group, and a meeting whose texts are in one group costs nothing more.
+texts, and verified links are closed to groups by spreading smallest ids. In large meetings that then
+still hold different groups the hub is held against the rest, in rounds of ever narrower meetings
+(see hub_pairs). At last all meetings that still hold different groups are compared whole (see
+open_pairs), so no pair that met is left. A meeting whose texts are in one group costs nothing more;
+one of many texts that do not resemble each other costs the square of its size.
 
 Null counts as the empty text; equal texts (also empty ones) are one group; texts without words
 resemble no other text. Rows repeated with the same doc_id are in one group. A null doc_id is in
@@ -43,8 +44,10 @@ IDF_STRENGTH = 0.25
 LEAST_AGREEING = 20
 #: Shingles sampled at once.
 BATCH = 1 << 16
-#: Members up to which a meeting is compared whole; rounds of ever narrower meetings for what larger ones leave open.
+#: Members up to which a meeting needs no hub; rounds of ever narrower meetings with hubs, before all that is open is compared.
 SMALL, NARROWINGS = 16, 2
+#: Members of about one part of a meeting that is compared whole.
+BLOCK = 256
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _MEMO_WORDS = 400_000
@@ -236,53 +239,72 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _meetings(signed: DataFrame, level: int) -> DataFrame:
-    """key, rep, signature: the meetings of a level. There, level + 1 neighbouring bands (in a ring) have to agree."""
+    """band, key, rep, signature: the meetings of a level. There, level + 1 neighbouring bands (in a ring) have to agree."""
     width = 4 * ROWS
     ring = F.concat("signature", "signature")
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring(ring, k * width + 1, (level + 1) * width)) for k in range(BANDS)])
-    return signed.select(F.explode(keys).alias("key"), "rep", "signature")
+    return signed.select(F.posexplode(keys).alias("band", "key"), "rep", "signature")
+
+
+def _mixed(signed: DataFrame, roots: DataFrame, level: int) -> DataFrame:
+    """meeting, n (its members), band, rep, root, signature: the members of the meetings that hold more than one group."""
+    members = _meetings(signed, level)
+    grouped = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select(apart("key").alias("meeting"), "n")
+    return checkpointed(grouped.withColumn("meeting", apart("key")).join(mixed.hint("merge"), "meeting").select("meeting", "n", "band", "rep", "root", "signature"))
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From small meetings, all pairs of different groups whose samples agree often enough."""
+    """From blocks, all pairs of different groups whose samples agree often enough, each in the first band that its texts share."""
     for batch in batches:
-        out: set[tuple[int, int]] = set()
-        for members in batch.column("members").to_pylist():
+        found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for band, across, members in zip(*(batch.column(c).to_pylist() for c in ("band", "across", "members")), strict=True):
             x = np.frombuffer(b"".join(m["signature"] for m in members), "<u4").reshape(len(members), HASHES)
-            agree = np.triu((x[:, None, :] == x[None, :, :]).sum(2) >= LEAST_AGREEING, 1)
-            for i, j in zip(*np.nonzero(agree), strict=True):
-                if members[i]["root"] != members[j]["root"]:
-                    a, b = members[i]["rep"], members[j]["rep"]
-                    out.add((min(a, b), max(a, b)))
-        rows = sorted(out)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
+            rep, root, part = (np.array([m[c] for m in members], np.int64) for c in ("rep", "root", "part"))
+            equal = x[:, None, :] == x[None, :, :]
+            bands = equal.reshape(len(x), len(x), BANDS, ROWS).all(3)
+            pairs = (equal.sum(2) >= LEAST_AGREEING) & bands[:, :, band] & ~bands[:, :, :band].any(2) & (root[:, None] != root[None, :])
+            if across:
+                pairs &= part[:, None] != part[None, :]
+            i, j = np.nonzero(np.triu(pairs, 1))
+            found_a.append(np.minimum(rep[i], rep[j]))
+            found_b.append(np.maximum(rep[i], rep[j]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
 
 
 def _samples_agreeing(one: Column, two: Column) -> Column:
     return sum(((F.substring(one, 4 * k + 1, 4) == F.substring(two, 4 * k + 1, 4)).cast("int") for k in range(HASHES)), F.lit(0))
 
 
-def open_pairs(signed: DataFrame, roots: DataFrame, level: int) -> DataFrame:
-    """Pairs (a, b) still to be verified in the meetings of a level that hold more than one group.
+def hub_pairs(signed: DataFrame, roots: DataFrame, level: int) -> DataFrame:
+    """Pairs (a, b) of the hub with the members outside its group, in the mixed meetings of a level of more than SMALL members.
 
-    Meetings of at most SMALL members are compared whole. In a larger one the hub, the member that
-    has most of the meeting's commonest samples, is held against all members outside its group: copies
-    that each differ from a common original in places of their own resemble the original, not each
-    other. Either way the pairs grow with the members, not with their square.
+    The hub is the member that has most of the meeting's commonest samples: copies that each differ from
+    a common original in places of their own resemble the original, not each other. This only joins
+    large groups early, with as many pairs as members; open_pairs has what it leaves.
     """
-    members = _meetings(signed, level)
-    grouped = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select(apart("key").alias("meeting"), "n")
-    inside = checkpointed(grouped.withColumn("meeting", apart("key")).join(mixed.hint("merge"), "meeting").select("meeting", "n", "rep", "root", "signature"))
+    large = _mixed(signed, roots, level).where(F.col("n") > SMALL)
     member = F.struct("rep", "root", "signature")
-    small = inside.where(F.col("n") <= SMALL).groupBy("meeting").agg(F.collect_list(member).alias("members")).select("members").mapInArrow(_whole, "a long, b long")
-    large = inside.where(F.col("n") > SMALL)
     commonest = large.groupBy("meeting").agg(F.concat(*[F.mode(F.substring("signature", 4 * k + 1, 4), deterministic=True) for k in range(HASHES)]).alias("commonest"))
     rated = large.withColumn("at", F.struct("meeting")).join(commonest.select(F.struct("meeting").alias("at"), "commonest").hint("merge"), "at")
     hubs = rated.groupBy("meeting").agg(F.max(F.struct(_samples_agreeing(F.col("signature"), F.col("commonest")).alias("agreeing"), (-F.col("rep")).alias("first"), member.alias("hub"))).alias("best"))
     held = large.withColumn("at", F.struct("meeting")).join(hubs.select(F.struct("meeting").alias("at"), F.col("best.hub").alias("hub")).hint("merge"), "at")
     stars = held.where((F.col("root") != F.col("hub.root")) & (_samples_agreeing(F.col("signature"), F.col("hub.signature")) >= LEAST_AGREEING))
-    return small.unionByName(stars.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))).distinct()
+    return stars.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+
+
+def open_pairs(signed: DataFrame, roots: DataFrame) -> DataFrame:
+    """All pairs (a, b) that share a band, are in different groups and agree in LEAST_AGREEING samples, each once.
+
+    Mixed meetings are compared whole, whatever their size: their members are dealt to parts of about
+    BLOCK, and each two parts are a block of its own, so a large meeting is spread over many tasks.
+    """
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = _mixed(signed, roots, 0).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    blocks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    member = F.struct("rep", "root", "signature", "part")
+    together = blocks.groupBy("meeting", "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")).agg(F.collect_list(member).alias("members"))
+    return together.select("band", (F.col("low") != F.col("high")).alias("across"), "members").mapInArrow(_whole, "a long, b long")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -310,8 +332,9 @@ def _grouped(docs: DataFrame) -> DataFrame:
     stars = narrow.withColumn("meeting", apart("key")).join(centers.hint("merge"), "meeting").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     links = checkpointed(verify(docs, stars, idf))
     roots = components(links)
-    for level in range(NARROWINGS):
-        more = checkpointed(verify(docs, open_pairs(reps, roots, level), idf))
+    for level in [*range(NARROWINGS), None]:
+        pairs = open_pairs(reps, roots) if level is None else hub_pairs(reps, roots, level)
+        more = checkpointed(verify(docs, pairs, idf))
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = components(links)

@@ -158,6 +158,30 @@ def test_near_groups_like_brute_force(spark):
     assert got == {i: find(distinct[t]) for i, t in rows}
 
 
+def test_near_groups_of_a_family_of_chains(spark):
+    """Every text resembles only its neighbours in a chain, and all meet in large meetings whose hub resembles few."""
+    base, rnd = [f"b{i}" for i in range(600)], random.Random(7)
+    rows = []
+    for chain in range(12):
+        for at in range(0, 528, 24):
+            rows.append(" ".join(f"c{chain}x{i}" if at <= i < at + 70 else w for i, w in enumerate(base)))
+    rnd.shuffle(rows)
+    vectors = [icws.shingles(t) for t in rows]
+    table = np.zeros(1 << icws.IDF_BITS, np.int64)
+    for hashes, _ in vectors:
+        table[np.unique(icws.bucket_of(hashes))] += 1
+    idf = icws.idf_weights(table, len(rows))
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            if group[a] != group[b] and icws.weighted_jaccard(vectors[a], vectors[b], idf) >= icws.THRESHOLD:
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    assert len(set(group)) == 12
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id: r.group_id for r in icws.near_groups(docs).collect()} == dict(enumerate(group))
+
+
 def test_near_groups_of_awkward_rows(awkward, docs_of):
     rows = icws.near_groups(awkward).collect()
     assert len(rows) == 12
