@@ -134,8 +134,8 @@ SELECT donor, recipient, bucket, {_CELLS} AS mismatches,
 FROM scored JOIN twins ON twins.key = recipient WHERE donor < 5"""
 )
 def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why each recipient's pairs with the first five donors stand where they do; a report, hence few donors."""
-    return m.explained(m.scored(m.all_pairs(spark, sf_dir).where(F.col("d.key") < 5)))
+    """Why each pair stands where it does. The SQL beside it has only the donors under 5."""
+    return m.explained(m.scored(m.all_pairs(spark, sf_dir)))
 
 
 @query(
