@@ -9,7 +9,7 @@ from pairstone.sources.people import table
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page, message_id, sender (null where the export repeats none), is_service, is_joined, sent_at, reply_to, body."""
+    """page, message_id, sender (null where the export repeats none), is_service, is_joined, sent_at, reply_to, body (the whole text; MESSAGES_SQL has 80 characters)."""
     conv, turn = F.col("conv_id"), F.col("turn")
     number = (conv * 100 + turn).cast("long")
     return table(spark, sf_dir, "conversations").select(
@@ -20,7 +20,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         (number % 4 != 0).alias("is_joined"),
         (F.lit(1_700_000_000) + conv * 600 + turn * (conv % 7) * 60).cast("long").alias("sent_at"),
         F.when(number % 5 == 0, number - turn % 3 - 1).alias("reply_to"),
-        F.substring("text", 1, 80).alias("body"),
+        F.col("text").alias("body"),
     )
 
 

@@ -1,6 +1,9 @@
 """Queries that give more than the SQL beside them, against that SQL without its cut."""
 
+import pytest
+
 from pairstone.plans import catalogue
+from pairstone.sources.messages import messages
 from test_queries import SF, duck, plain  # noqa: F401
 
 
@@ -15,3 +18,13 @@ def whole(spark, duck, name, cut, instead):  # noqa: F811
 
 def test_explanations_of_all_donors(spark, duck):  # noqa: F811
     whole(spark, duck, "explanations", " WHERE donor < 5", "")
+
+
+@pytest.mark.parametrize("name", ["texts_of_bundle", "upsert_report", "bounded_messages"])
+def test_messages_of_whole_texts(spark, duck, name):  # noqa: F811
+    whole(spark, duck, name, "substr(text, 1, 80)", "text")
+
+
+def test_bodies_are_whole(spark):
+    long = spark.read.parquet(f"{SF}/conversations.parquet").where("length(text) > 80").count()
+    assert messages(spark, SF).where("length(body) > 80").count() == long > 0
