@@ -11,7 +11,7 @@ from pairstone.plans import matching_sql as sql
 from pairstone.plans.registry import query
 from pairstone.sources import people as source
 
-TOP = 3
+TOP = 10
 
 
 @query(sql.with_(sql.PEOPLE) + "SELECT side, key, locus, value, second_allele, tier FROM typings")

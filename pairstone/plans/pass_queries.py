@@ -69,7 +69,8 @@ def media_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MESSAGES_SQL}, m AS (SELECT page, substr(body, 1, 20) AS body, row_number() OVER (PARTITION BY page ORDER BY sent_at, message_id) AS place, count(*) OVER (PARTITION BY page) AS \"of\" FROM messages) SELECT * FROM m WHERE place <= 10")
 def bounded_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passes.bounded_list(messages(spark, sf_dir), "page", ["sent_at", "message_id"], 10, "body", 20)
+    """60 messages of 1500 characters for a page. The SQL beside it has 10 of 20."""
+    return passes.bounded_list(messages(spark, sf_dir), "page", ["sent_at", "message_id"], 60, "body", 1500)
 
 
 @query(
