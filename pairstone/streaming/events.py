@@ -13,11 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairstone.operators import decisions
-
-
-def shared(spark: SparkSession, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/pairstone-checkpoints"
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from pairstone.shared import new_path
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +30,7 @@ def hourly(stream: DataFrame) -> DataFrame:
 def run(spark: SparkSession, result: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all files there are and return what its sink holds."""
     name = f"pairstone_{uuid.uuid4().hex}"
-    query = result.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", shared(spark, "stream")).start()
+    query = result.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", new_path(spark, "stream")).start()
     query.awaitTermination()
     return spark.table(name)
 
