@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. A batch of texts stays in tens of MB however long the texts are on average.
-BATCH_ROWS = 512
+from pairstone.shared import written
+from pairstone.workers import importable
+
+#: Rows and bytes of one Arrow batch: tens of MB however long the texts are (a batch ends with the row that exceeds it).
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, and bound Arrow batches by rows and bytes."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in have:
-        env["PYTHONPATH"] = os.pathsep.join(x for x in [root, *have] if x)
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,23 +43,21 @@ def map_rows(docs: DataFrame, fn: Callable[[list], dict[str, list]], schema: str
     return texts(docs).mapInArrow(run, f"doc_id long, {schema}")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a local one only where none is named, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/pairstone-checkpoints"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/pairstone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+checkpointed = written
 
 
 #: Rows of ids that a broadcast may hold: a few MB.
 BROADCAST_ROWS = 200_000
 
 
+def own_name(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_enough(df: DataFrame) -> DataFrame:
     """df, marked for broadcast if it has at most BROADCAST_ROWS rows; otherwise the join shuffles. df should be checkpointed."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

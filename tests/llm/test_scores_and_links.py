@@ -159,18 +159,21 @@ def test_near_groups_like_brute_force(spark):
 
 
 def test_near_groups_of_a_family_of_chains(spark):
-    """Every text resembles only its neighbours in a chain, and all meet in large meetings whose hub resembles few."""
+    """Every text resembles only its neighbours in a chain, and all meet in large meetings whose hub resembles few.
+
+    Other texts stand around, as the family's own shingles would else be common ones, of little weight.
+    """
     base, rnd = [f"b{i}" for i in range(600)], random.Random(7)
-    rows = []
+    rows, others = [], [f"o{i} p{i} q{i} r{i} s{i}" for i in range(20_000)]
     for chain in range(12):
         for at in range(0, 528, 24):
             rows.append(" ".join(f"c{chain}x{i}" if at <= i < at + 70 else w for i, w in enumerate(base)))
     rnd.shuffle(rows)
     vectors = [icws.shingles(t) for t in rows]
     table = np.zeros(1 << icws.IDF_BITS, np.int64)
-    for hashes, _ in vectors:
+    for hashes in [h for h, _ in vectors] + [icws.shingles(t)[0] for t in others]:
         table[np.unique(icws.bucket_of(hashes))] += 1
-    idf = icws.idf_weights(table, len(rows))
+    idf = icws.idf_weights(table, len(rows) + len(others))
     group = list(range(len(rows)))
     for a in range(len(rows)):
         for b in range(a + 1, len(rows)):
@@ -178,8 +181,33 @@ def test_near_groups_of_a_family_of_chains(spark):
                 low, high = sorted((group[a], group[b]))
                 group = [low if g == high else g for g in group]
     assert len(set(group)) == 12
-    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    assert {r.doc_id: r.group_id for r in icws.near_groups(docs).collect()} == dict(enumerate(group))
+    docs = spark.createDataFrame(list(enumerate(rows + others)), "doc_id long, text string")
+    assert {r.doc_id: r.group_id for r in icws.near_groups(docs).collect()} == dict(enumerate(group + [*range(len(rows), len(rows) + len(others))]))
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 40])
+def test_blocks_like_pairs(n, monkeypatch):
+    """All links of a block, whatever the columns compared at once, against single pairs."""
+    monkeypatch.setattr(icws, "COLUMNS", 16)
+    rnd = np.random.default_rng(n)
+    idf = rnd.uniform(0.1, 1, 1 << icws.IDF_BITS).astype(np.float32)
+    pool = np.sort(rnd.integers(0, 1 << 63, 60).astype(np.uint64))
+    texts = []
+    for _ in range(n):
+        own = np.sort(rnd.permutation(60)[: rnd.integers(1, 60)]) if rnd.random() < 0.5 else np.arange(3, 55 + rnd.integers(0, 5))
+        texts.append((pool[own], rnd.integers(1, 3, len(own)) if rnd.random() < 0.3 else np.ones(len(own), np.int64)))
+    names = [bytes([i]) for i in range(n)]
+    for sides in (np.full(n, 2), np.arange(n) % 2):
+        got = icws.block_links(names, names, sides, [h for h, _ in texts], [c for _, c in texts], idf)
+        parent = list(range(n))
+        for pairs in (got, [(names[i], names[j]) for i in range(n) for j in range(i) if (sides[i] == 2 or sides[i] != sides[j]) and icws.weighted_jaccard(texts[i], texts[j], idf) >= icws.THRESHOLD]):
+            parent = list(range(n))
+            for a, b in pairs:
+                low, high = sorted((parent[a[0]], parent[b[0]]))
+                parent = [low if p == high else p for p in parent]
+            found = parent if pairs is got else found
+        assert found == parent
+        assert len(got) == n - len(set(parent))
 
 
 def test_near_groups_of_awkward_rows(awkward, docs_of):
