@@ -7,7 +7,9 @@ keeps it if it is compatible with the token before, tries shorter ones otherwise
 back where none is left. A place that was given up is never entered again, which makes the
 walk linear in the text.
 
-Null and empty texts give no tokens. Repeated rows give equal results; doc_id may be null.
+Null and empty texts give no tokens, an empty table no rows. Repeated rows and texts give equal results, each its
+own row; doc_id may be null. There are no ties: the merges' ranks differ. Other columns, whatever their names,
+are not read. A very long text is encoded whole by the one task that holds it, in memory proportional to its length.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
 import re
 import unicodedata
 from array import array
@@ -22,17 +25,16 @@ from array import array
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from pairstone.llm.chars import LETTER, NUMBER, SPACE, ranges_of
-from pairstone.llm.runtime import map_rows
+from pairstone.llm.chars import LETTER, NUMBER, SPACE, ranges_of, unassigned
+from pairstone.llm.runtime import map_column
 
 #: Words and token pairs that one worker remembers; beyond that the memory starts anew.
 MEMO_WORDS, MEMO_PAIRS = 500_000, 1_000_000
 END = "</w>"
 _END_SHIFT = 0x1000
-#: White space to str.split() but not to the vocabulary's pattern.
-_ODD_SPACE = frozenset("\x1c\x1d\x1e\x1f")
 
 
 @functools.cache
@@ -101,54 +103,93 @@ class OffsetTable:
         return self.data[at].tobytes()
 
 
-class ChunkEncoder:
-    """Encodes texts string by string between white space, which no token crosses, and remembers the strings."""
+class WordEncoder:
+    """Encodes texts as a lower-casing vocabulary with word ends does (a tokenizers .json file).
+
+    No token crosses white space, so a batch of texts is split at it, each different string of the batch is
+    encoded once while it is remembered, and the ids are gathered by offsets. A string is lower-cased and split to
+    words by the vocabulary's pattern; how a word becomes ids is up to the subclass. Strings with
+    code points that this Python doesn't know are lower-cased and split by the library, which may know them.
+    """
 
     memo_words = MEMO_WORDS
 
-    def __init__(self, special: dict[str, int]):
-        self.special = special
-        self.splitter = re.compile("(" + "|".join(map(re.escape, special)) + ")")
-        self.spaces = re.compile(f"[{ranges_of(SPACE)}]+")
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            self.spec = json.load(f)
+        self.library = Tokenizer.from_file(path)
+        self.special = {x["content"]: x["id"] for x in self.spec["added_tokens"]}
+        self.splitter = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        letter, number, space = map(ranges_of, (LETTER, NUMBER, SPACE))
+        self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+")
+        self.unknown = re.compile(f"[{unassigned()}]")
+        self.byte_of = {c: b for b, c in enumerate(byte_alphabet())}
         self.memo: dict[str, bytes] = {}
 
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each string."""
+    def encode_word(self, word: str) -> bytes:
+        """Little-endian 32-bit ids of one word that the pattern gave."""
         raise NotImplementedError
 
-    def _encode_plain(self, text: str) -> bytes:
-        chunks = text.split() if _ODD_SPACE.isdisjoint(text) else self.spaces.split(text)
+    def _words(self, chunk: str) -> list[str]:
+        if not chunk.isascii():
+            if not chunk.isprintable() and self.unknown.search(chunk):
+                found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
+                return [bytes(map(self.byte_of.__getitem__, x)).decode() for x, _ in found]
+            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # lower() would else see word ends
+        return self.words.findall(chunk.lower())
+
+    def _encode_chunk(self, chunk: str) -> bytes:
+        return b"".join(map(self.encode_word, self._words(chunk)))
+
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each string. Strings that are new are remembered; a full memory starts anew."""
         memo = self.memo
-        ids = [*map(memo.get, chunks)]
-        if None in ids:
+        found = [*map(memo.get, chunks)]
+        if None in found:
             if len(memo) > self.memo_words:
                 memo.clear()
-            missing = [*{chunk for chunk, found in zip(chunks, ids, strict=True) if found is None}]
-            new = dict(zip(missing, self.encode_chunks(missing), strict=True))
-            memo.update(new)
-            ids = [new[chunk] if found is None else found for chunk, found in zip(chunks, ids, strict=True)]
-        return b"".join(ids)
+            for i, ids in enumerate(found):
+                if ids is None:
+                    chunk = chunks[i]
+                    found[i] = memo[chunk] = self._encode_chunk(chunk)
+        return found
 
     def encode_bytes(self, text: str | None) -> bytes:
         """All ids of a text; the strings of special tokens become their ids, as the library does by default."""
-        if not text:
-            return b""
-        if "<|" not in text:
-            return self._encode_plain(text)
-        return b"".join(self.special[x].to_bytes(4, "little") if x in self.special else self._encode_plain(x) for x in self.splitter.split(text))
+        return b"".join(self.special[x].to_bytes(4, "little") if x in self.special else b"".join(self._known(x.split(" "))) for x in self.splitter.split(text or ""))
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), "<u4")
 
-
-class WordBpe(ChunkEncoder):
-    """The encoder and decoder for a lower-casing BPE vocabulary with word ends (a tokenizers .json file)."""
+    def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of an Arrow column without nulls."""
+        special = pc.match_substring(texts, "<|")
+        lists = pc.ascii_split_whitespace(pc.if_else(special, "", texts))
+        strings = lists.flatten().dictionary_encode()
+        at = strings.indices.to_numpy()
+        known = self._known(strings.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        offsets = np.concatenate(([0], np.cumsum(size)))
+        of_string = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(known), "<u4")))
+        ids = of_string.take(strings.indices).flatten().to_numpy()
+        upto = np.concatenate(([0], np.cumsum(size[at])))
+        bounds = upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        out = np.split(ids, bounds[1:-1])
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)):
+            out[i] = self.encode(texts[i].as_py())
+        return out
+
+
+class WordBpe(WordEncoder):
+    """The encoder by backtracking, and the decoder."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        super().__init__(path)
+        spec = self.spec
         vocab = spec["model"]["vocab"]
-        super().__init__({x["content"]: x["id"] for x in spec["added_tokens"]})
         names = [""] * (1 + max([*vocab.values(), *self.special.values()]))
         for name, i in [*vocab.items(), *self.special.items()]:
             names[i] = name
@@ -171,8 +212,6 @@ class WordBpe(ChunkEncoder):
         self.finder.make_automaton()
         self.names = OffsetTable([f"{x} ".encode() for x in names])
         self.digits = OffsetTable([f"{i} ".encode() for i in range(len(names))])
-        letter, number, space = map(ranges_of, (LETTER, NUMBER, SPACE))
-        self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+")
         self.word_memo: dict[str, bytes] = {}
 
     def encode_symbols(self, symbols: str) -> list[int]:
@@ -201,26 +240,14 @@ class WordBpe(ChunkEncoder):
                 token = shorter[token]
 
     def encode_word(self, word: str) -> bytes:
-        """Little-endian 32-bit ids of one word that the splitter gave."""
-        symbols = word.encode().decode("latin-1")
-        return array("I", self.encode_symbols(symbols[:-1] + chr(ord(symbols[-1]) + _END_SHIFT))).tobytes()
-
-    def _encode_chunk(self, chunk: str) -> bytes:
-        """Ids of a string without white space, word by word."""
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # lower() would else see word ends
-        memo, out = self.word_memo, []
-        for word in self.words.findall(chunk.lower()):
-            ids = memo.get(word)
-            if ids is None:
-                ids = memo[word] = self.encode_word(word)
-            out.append(ids)
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        return b"".join(out)
-
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        return [*map(self._encode_chunk, chunks)]
+        memo = self.word_memo
+        ids = memo.get(word)
+        if ids is None:
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+            symbols = word if word.isascii() else word.encode().decode("latin-1")
+            ids = memo[word] = array("I", self.encode_symbols(symbols[:-1] + chr(ord(symbols[-1]) + _END_SHIFT))).tobytes()
+        return ids
 
     def decode(self, ids: np.ndarray) -> str:
         """The names of the tokens with spaces between: the file names no decoder that would join them."""
@@ -236,25 +263,24 @@ def load(path: str) -> WordBpe:
 def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, ids (array of int) and the decoded text of each document."""
 
-    def run(batch: list[str]) -> dict:
+    def run(batch: pa.Array) -> dict:
         bpe = load(vocabulary)
-        ids = [bpe.encode(x) for x in batch]
+        ids = bpe.encode_batch(batch)
         return {"ids": pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), "decoded": pa.array([bpe.decode(x) for x in ids], pa.string())}
 
-    return map_rows(docs, run, "ids array<int>, decoded string")
+    return map_column(docs, run, "ids array<int>, decoded string")
 
 
 def digest_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Encode and decode each document in its worker and keep digests only, so that ids never leave it."""
 
-    def run(batch: list[str]) -> dict:
+    def run(batch: pa.Array) -> dict:
         bpe = load(vocabulary)
         count, ids_sha, text_sha = [], [], []
-        for text in batch:
-            ids = bpe.encode(text)
+        for ids in bpe.encode_batch(batch):
             count.append(len(ids))
             ids_sha.append(hashlib.sha256(bpe.digits.gather(ids)[:-1]).hexdigest())
-            text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+            text_sha.append(hashlib.sha256(bpe.names.gather(ids)[:-1]).hexdigest())
         return {"n_tokens": pa.array(count, pa.int64()), "ids_sha256": ids_sha, "decoded_sha256": text_sha}
 
-    return map_rows(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_column(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")

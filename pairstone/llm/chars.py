@@ -14,6 +14,17 @@ LETTER, NUMBER, OTHER, SPACE = range(4)
 WHITE_SPACE = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 
 
+@functools.cache
+def unassigned() -> str:
+    """The inside of a regular expression's brackets for code points that this Python's Unicode database doesn't know."""
+    return _ranges(np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1))
+
+
+def _ranges(mask: np.ndarray) -> str:
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], mask, [0])).astype(np.int8))).reshape(-1, 2)
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges)
+
+
 @functools.cache
 def class_table() -> np.ndarray:
     """The class of each code point."""
@@ -27,6 +38,4 @@ def class_table() -> np.ndarray:
 @functools.cache
 def ranges_of(kind: int) -> str:
     """The inside of a regular expression's brackets that matches a class."""
-    inside = np.concatenate(([0], class_table() == kind, [0])).astype(np.int8)
-    edges = np.flatnonzero(np.diff(inside)).reshape(-1, 2)
-    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges)
+    return _ranges(class_table() == kind)

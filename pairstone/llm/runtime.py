@@ -31,18 +31,24 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def map_rows(docs: DataFrame, fn: Callable[[list], dict[str, list]], schema: str) -> DataFrame:
-    """Apply fn to the texts of each Arrow batch; fn returns the columns of schema that follow doc_id."""
+def map_column(docs: DataFrame, fn: Callable[[pa.Array], dict], schema: str) -> DataFrame:
+    """Apply fn to the texts of each Arrow batch, as a column; fn returns the columns of schema that follow doc_id."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v) if isinstance(v, list) else v for v in out.values())], names=["doc_id", *out])
+            if batch.num_rows:
+                out = fn(batch.column("text"))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v) if isinstance(v, list) else v for v in out.values())], names=["doc_id", *out])
 
     return texts(docs).mapInArrow(run, f"doc_id long, {schema}")
 
 
+def map_rows(docs: DataFrame, fn: Callable[[list], dict], schema: str) -> DataFrame:
+    """Apply fn to the texts of each Arrow batch, as a list."""
+    return map_column(docs, lambda column: fn(column.to_pylist()), schema)
+
+
 checkpointed = written
 
 

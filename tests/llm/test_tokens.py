@@ -6,6 +6,7 @@ import random
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -38,6 +39,17 @@ def test_encodings_are_the_library_s(libraries, text):
     assert token_fst.load(BYTE).count([text]) == [len(byte.encode(text, add_special_tokens=False).ids)]
 
 
+def test_every_code_point_is_the_library_s(libraries):
+    """Also those that this Python's Unicode database doesn't know."""
+    coder, packer = bpe.load(WORD), packing.load(WORD)
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or c > 0xA000 and c < 0xAC00 or c > 0xD7A0)]
+    for i in range(0, len(chars), 40):
+        text = "".join(f"a{c}b C{c}{c} {c} " for c in chars[i : i + 40])
+        assert coder.encode(text).tolist() == libraries[0].encode(text, add_special_tokens=False).ids
+        assert packer.encode_bytes(text) == coder.encode_bytes(text)
+    assert coder.encode_batch(pa.array(["", "a<|endoftext|>b", " x ", chars[5]]))[1].tolist() == libraries[0].encode("a<|endoftext|>b", add_special_tokens=False).ids
+
+
 def test_counts_do_not_depend_on_neighbours_or_chunks(libraries):
     rnd = random.Random(3)
     texts = ["".join(rnd.choices(PIECES, k=rnd.randint(0, 400))) for _ in range(60)] + [" " * 1000, "a" * 3000, "'" * 500]
@@ -54,12 +66,13 @@ def test_memory_starts_anew(monkeypatch):
     assert small.count(texts) == token_fst.load(BYTE).count(texts)
 
 
-def test_op1_rows(awkward):
+def test_op1_rows(awkward, docs_of):
     rows = bpe.digest_documents(awkward, WORD).collect()
     assert len(rows) == 12
     by_id = {r.doc_id: r for r in rows}
     assert by_id[1].n_tokens == 0 and by_id[1].ids_sha256 == hashlib.sha256(b"").hexdigest() == by_id[2].decoded_sha256
     assert by_id[4][1:] == by_id[5][1:]
+    assert bpe.digest_documents(docs_of([]), WORD).collect() == []
 
 
 def test_op4_rows(awkward, docs_of):
@@ -69,21 +82,74 @@ def test_op4_rows(awkward, docs_of):
     assert token_fst.count_documents(docs_of([]), BYTE, 1024).collect() == []
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 64), max_size=80))
-def test_packing_is_gapless_and_within_capacity(lengths):
-    sequence, offset = packing.pack(lengths, 64)
-    filled: dict[int, int] = {}
-    for _, s, length in sorted(zip(offset, sequence, lengths, strict=True)):
-        filled[s] = filled.get(s, 0) + length
-    assert all(v <= 64 for v in filled.values())
-    assert sorted(filled) == list(range(len(filled)))
-    for s in filled:
-        parts = sorted((o, n) for o, q, n in zip(offset, sequence, lengths, strict=True) if q == s)
+def plain_pack(lengths, capacity):
+    """The same packing piece by piece: the fills of the sequences (of gaps that are equally tight, any may be taken)."""
+    left = sorted((n for n in lengths if 3 * n > capacity), reverse=True)
+    bins = []
+    while left:
+        first = left.pop(0)
+        second = next((n for n in left if first + n <= capacity), None)
+        if second is not None:
+            left.remove(second)
+        bins.append([first] if second is None else [first, second])
+    for n in sorted((n for n in lengths if 3 * n <= capacity), reverse=True):
+        fitting = [b for b in bins if sum(b) + n <= capacity]
+        if fitting:
+            max(fitting, key=sum).append(n)
+        else:
+            bins.append([n])
+    return sorted(map(sum, bins))
+
+
+def planned(lengths, capacity):
+    plan = packing.Plan({n: lengths.count(n) for n in set(lengths)}, capacity)
+    bins = {}
+    for n, runs in plan.runs.items():
+        ends = [r[0] for r in runs[1:]] + [lengths.count(n)]
+        assert runs[0][0] == 0
+        for (rank, sequence, offset, each), end in zip(runs, ends, strict=True):
+            for k in range(end - rank):
+                bins.setdefault(sequence + k // each, []).append((offset + k % each * n, n))
+    assert sorted(bins) == list(range(plan.sequences))
+    return bins
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=120) | st.lists(st.sampled_from([1, 3, 5, 20, 21, 22, 32, 33, 64]), max_size=300))
+def test_plans_are_gapless_and_pack_like_the_plain_packer(lengths):
+    bins = planned(lengths, 64)
+    for parts in bins.values():
+        parts.sort()
         assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
+        assert sum(n for _, n in parts) <= 64
         assert sum(3 * n > 64 for _, n in parts) <= 2
-    # No two sequences of only small documents could be one.
-    assert sum(1 for v in filled.values() if v * 2 <= 64) <= 1
+    assert sorted(sum(n for _, n in parts) for parts in bins.values()) == plain_pack(lengths, 64)
+
+
+def test_a_plan_of_huge_counts_is_small():
+    rnd = random.Random(5)
+    few = {n: rnd.randint(1, 9) for n in range(1, 2049)}
+    many = {n: c * 10**9 for n, c in few.items()}
+    plan = packing.Plan(many)
+    assert sum(map(len, plan.runs.values())) < 100_000
+    tokens = sum(n * c for n, c in many.items())
+    assert plan.sequences < tokens / 2048 * 1.01
+
+
+def test_packing_without_ids_over_many_tasks(spark, libraries):
+    """Rows without ids and repeated rows, in more tasks than cores, are each in one place, as densely as in one task."""
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choices(["one", "two", "three"], k=rnd.choice([1, 30, 700, 900, 1400]))) for _ in range(300)]
+    docs = spark.createDataFrame([(None if i % 3 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = packing.pack_documents(docs.repartition(11), WORD).collect()
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in bins.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
+    lengths = [len(libraries[0].encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+    assert sorted(sum(n for _, n in parts) for parts in bins.values()) == plain_pack(lengths, 2048)
 
 
 def test_op8_rows(awkward, docs_of, libraries):
