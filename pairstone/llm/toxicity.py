@@ -7,14 +7,20 @@ through that product. A sentence without known features keeps the small probabil
 chosen so that a clean document of thousands of sentences stays far below any threshold.
 
 Training uses at most SAMPLE labelled rows of each class, chosen by a hash of their ids, and keeps
-at most FEATURES features; that bounds what is broadcast. Scoring reads every text whole. Null and
-empty texts have one empty sentence; without labels of both classes every sentence keeps its prior.
+at most FEATURES features; that bounds what is broadcast. Of several texts with a labelled id, the one with
+the smallest hash is learnt from; texts that are equal count once for each label; labels given twice for an id count once, as the
+larger one. Scoring reads every text whole.
+
+Null and empty texts have one empty sentence; without labels of both classes every sentence keeps its prior.
+Equal texts get equal scores, each row its own; doc_id may be null; an empty table gives no rows. Ties among features go to
+the smaller string. Other columns, whatever their names, are not read. A very long text is scored whole by the task that holds it.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairstone.llm.runtime import map_rows, prepare, texts
+from pairstone.llm.runtime import checkpointed, map_rows, prepare, texts
 
 #: Bounds of the training sample for each class, and of the features.
 SAMPLE, FEATURES = 3000, 20_000
+#: Toxic documents of the sample that a feature needs.
+LEAST_DOCUMENTS = 3
 THRESHOLD, OFFENDING = 0.3, 0.5
 SENTENCE_PRIOR = 1e-6
 STEMS = (4, 5, 6, 7)
@@ -35,6 +43,7 @@ LEAST_WEIGHT = 1.5
 MEMO = 300_000
 
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]*")
+_MARKS = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"\w+")
 
 
@@ -43,6 +52,11 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _SENTENCE.finditer(text) if m.end() > m.start()] or [(0, 0)]
 
 
+def count_sentences(text: str) -> int:
+    """len(sentences(text)), without the spans."""
+    return len(_MARKS.findall(text)) + (text[-1:] not in tuple(".!?\n")) or 1
+
+
 def word_features(word: str) -> list[str]:
     return [f"={word}", *(word[:n] for n in STEMS if len(word) >= n)]
 
@@ -89,47 +103,42 @@ class Model:
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The noisy-or of a text's sentences, and the offending ones."""
         if not self.evidence(text):
-            n = len(sentences(text)) if len(text) > 200 else 1
-            return -math.expm1(n * math.log1p(-SENTENCE_PRIOR)), []
+            return -math.expm1(count_sentences(text) * math.log1p(-SENTENCE_PRIOR)), []
         scored = self.sentence_scores(text)
         clean = math.fsum(math.log1p(-min(p, 1 - 1e-12)) for _, _, p in scored)
         return -math.expm1(clean), [x for x in scored if x[2] >= OFFENDING]
 
 
-def train(bags: list[tuple[str, int]]) -> Model:
-    """Weights from (text, label) by gradient ascent on the noisy-or's likelihood; classes weigh the same."""
-    bad = [t for t, y in bags if y]
-    good = [t for t, y in bags if not y]
-    if not bad or not good:
-        return Model({})
-    seen: dict[str, list[int]] = {}
-    for y, group in enumerate((good, bad)):
-        for t in group:
-            for f in text_features(t):
-                seen.setdefault(f, [0, 0])[y] += 1
-    # Features that are commoner in toxic documents, by smoothed log ratio; the strongest by evidence.
-    lift = {f: math.log((b + 0.5) / (len(bad) + 1)) - math.log((g + 0.5) / (len(good) + 1)) for f, (g, b) in seen.items() if b >= 3}
-    chosen = sorted((f for f in lift if lift[f] > 1), key=lambda f: (-seen[f][1] * lift[f], f))[:FEATURES]
-    number = {f: i for i, f in enumerate(chosen)}
-    sentence, feature, bag = [], [], []
-    labels = []
-    for t, y in sorted(bags):
-        known_any = False
-        for a, b in sentences(t):
-            known = sorted({number[f] for w in set(_WORD.findall(t[a:b].lower())) for f in word_features(w) if f in number})
-            if known:
-                known_any = True
-                feature += known
-                sentence += [len(bag)] * len(known)
-                bag.append(len(labels))
-        if known_any:
-            labels.append(y)
-    if not bag:
+#: A document of the sample: its label and, for each sentence with known features, their numbers.
+Bag = tuple[int, list[list[int]]]
+
+
+def lifts(counts: list[tuple[str, int, int]], good: int, bad: int) -> dict[str, float]:
+    """The features that are commoner in toxic documents, by smoothed log ratio; the strongest by evidence. counts: feature, good and bad documents that have it."""
+    lift = {f: math.log((b + 0.5) / (bad + 1)) - math.log((g + 0.5) / (good + 1)) for f, g, b in counts if b >= LEAST_DOCUMENTS}
+    evidence = {f: b * lift[f] for f, _, b in counts if f in lift}
+    return {f: lift[f] for f in sorted((f for f in lift if lift[f] > 1), key=lambda f: (-evidence[f], f))[:FEATURES]}
+
+
+def bag_of(text: str, number: dict[str, int]) -> list[list[int]]:
+    """The numbers of the known features of each sentence that has any."""
+    found = (sorted({number[f] for w in set(_WORD.findall(text[a:b].lower())) for f in word_features(w) if f in number}) for a, b in sentences(text))
+    return [x for x in found if x]
+
+
+def train(bags: list[Bag], lift: dict[str, float], good: int, bad: int) -> Model:
+    """Weights by gradient ascent on the noisy-or's likelihood; classes weigh the same."""
+    chosen = [*lift]
+    known = sorted(b for b in bags if b[1])
+    if not known:
         return Model({})
-    sentence_, feature_, bag_, y_ = map(np.array, (sentence, feature, bag, labels))
+    y_ = np.array([y for y, _ in known])
+    bag_ = np.repeat(np.arange(len(known)), [len(x) for _, x in known])
+    sizes = [len(s) for _, x in known for s in x]
+    sentence_, feature_ = np.repeat(np.arange(len(sizes)), sizes), np.array([f for _, x in known for s in x for f in s])
     base = math.log(SENTENCE_PRIOR / (1 - SENTENCE_PRIOR))
     # Each bag's share of its class; a document without any known feature has no gradient.
-    share = np.where(y_ == 1, 1 / len(bad), 1 / len(good))
+    share = np.where(y_ == 1, 1 / bad, 1 / good)
     w = np.array([-base * 0.5 * min(1.0, lift[f] / 6) for f in chosen])
     square = np.zeros(len(w))
     for _ in range(STEPS):
@@ -146,16 +155,44 @@ def train(bags: list[tuple[str, int]]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, trainable: Column, sample: int = SAMPLE) -> Model:
-    """The model from labels(doc_id, toxic) for which trainable holds, at most `sample` rows of each class."""
+    """The model from labels(doc_id, toxic) for which trainable holds, at most `sample` rows of each class.
+
+    Texts stay on the executors: the driver gets counts of the features that can be chosen, then the sentences' feature numbers.
+    """
     spark = docs.sparkSession
     prepare(spark)
     known = labels.where(trainable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     rows = [r for y in (0, 1) for r in known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-    if not rows:
-        return Model({})
     chosen = spark.createDataFrame([(r.doc_id, r.label) for r in rows], "doc_id long, label int")
-    got = texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "label").distinct().collect()  # bounded by 2 * sample
-    return train([(r.text, r.label) for r in got])
+    labelled = texts(docs).join(F.broadcast(chosen), "doc_id")  # bounded by 2 * sample
+    one = labelled.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one"))
+    bags = checkpointed(one.select("label", F.col("one.text").alias("text")).distinct())
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[str, list[int]] = {}
+            for y, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for f in text_features(text):
+                    seen.setdefault(f, [0, 0])[y] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([*seen], pa.string()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], names=["feature", "good", "bad"])
+
+    size = {r.label: r["count"] for r in bags.groupBy("label").count().collect()}
+    good, bad = size.get(0, 0), size.get(1, 0)
+    if not good or not bad:
+        return Model({})
+    counted = bags.mapInArrow(features, "feature string, good long, bad long").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    ratio = (F.col("bad") + 0.5) / (bad + 1) / ((F.col("good") + 0.5) / (good + 1))
+    strongest = counted.where((F.col("bad") >= LEAST_DOCUMENTS) & (ratio > 2)).orderBy(F.desc(F.col("bad") * F.log(ratio)), "feature").limit(2 * FEATURES)
+    lift = lifts([(r.feature, r.good, r.bad) for r in strongest.collect()], good, bad)
+    number = {f: i for i, f in enumerate(lift)}
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [bag_of(x, number) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.list_(pa.int32())))], names=["label", "bag"])
+
+    got = bags.mapInArrow(numbered, "label int, bag array<array<int>>").collect()
+    return train([(r.label, [[*x] for x in r.bag]) for r in got], lift, good, bad)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

@@ -50,15 +50,27 @@ def test_scores_of_awkward_rows(spark, awkward, docs_of):
     assert quality.keep_good(awkward, quality.fit(awkward, labels, F.lit(True))).columns == awkward.columns
 
 
-def test_offending_sentences_are_located():
+def test_offending_sentences_are_located(spark, docs_of):
     bags = [("All is well here. Nothing to see.", 0), ("A calm day. Rain fell.", 0)] * 40 + [("All is well here. You zorgly zorg. Rain fell.", 1), ("A calm day. Zorgly zorg!", 1)] * 40
-    model = toxicity.train([(f"{t} w{i}", y) for i, (t, y) in enumerate(bags)])
+    rows = [(i, f"{t} w{i}") for i, (t, _) in enumerate(bags)]
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(bags)], "doc_id long, toxic int")
+    # Rows repeated, also with another text, and labels given twice change little or nothing.
+    model = toxicity.fit(docs_of(rows + rows[:50]), labels.union(labels), F.lit(True))
     text = "Rain fell. Such a zorgly zorg it was. All is well."
     score, where = model.score(text)
     assert score > 0.9 and [text[a:b].strip() for a, b, _ in where] == ["Such a zorgly zorg it was."]
     assert model.score("Rain fell. " * 5000)[0] < 0.1
 
 
+@pytest.mark.parametrize("text", ["", "a", "One. Two. Three. Four.", "...a", "a...", "\n", "x\n\ny!? z", "long " * 300 + ". b"])
+def test_noisy_or_of_the_sentences_at_every_length(text):
+    assert toxicity.count_sentences(text) == len(toxicity.sentences(text))
+    want = 1.0
+    for _, _, p in toxicity.Model({"=q": 2.0}).sentence_scores(text):
+        want *= 1 - p
+    assert toxicity.Model({"=q": 2.0}).score(text)[0] == pytest.approx(1 - want, rel=1e-3)
+
+
 BASE = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
