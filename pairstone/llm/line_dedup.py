@@ -6,8 +6,10 @@ place; at all later occurrences its three positions are covered. Positions that
 window go, so a long repeated passage goes in one piece. Windows without any word are no windows.
 
 Lines are what stands between line feeds, compared as they are. Documents of fewer than three
-lines are left alone; null counts as the empty text; a null doc_id comes after all others; rows
-repeated with the same doc_id and text stand or fall together. No text is gathered anywhere: only
+lines are left alone, empty ones, too; null counts as the empty text. Of occurrences in rows of one doc_id (a tie) the
+one in the text with the smaller hash, then the earlier one stays; all null doc_ids are one id, after all others. Rows
+repeated with one doc_id and text stand or fall together. An empty table gives no rows. Other columns, whatever their names,
+are carried along. A text is held whole by one task, with three small values for each of its lines. No text is gathered anywhere: only
 windows are exchanged, and a window's first occurrence is found by a pre-aggregated minimum, so a
 passage that a third of the documents share meets in one place as partial minima only. The join
 back to the occurrences has a plain exchange on either side, which AQE splits where it is skewed.
@@ -15,24 +17,40 @@ back to the occurrences has a plain exchange on either side, which AQE splits wh
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairstone.llm.runtime import prepare
+from pairstone.llm.runtime import own_name, prepare
 
 WINDOW = 3
 _LAST_ID = (1 << 63) - 1
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """Every column of docs, then the operator's own, under names that no table is likely to have."""
+@dataclass
+class Names:
+    """The operator's own columns, under names that the table doesn't have."""
+
+    id: str
+    text: str
+    lines: str
+    gone: str
+
+    @staticmethod
+    def beside(docs: DataFrame) -> Names:
+        return Names(*(own_name(docs, f"_ps_{x}") for x in ("id", "text", "lines", "gone")))
+
+
+def _rows(docs: DataFrame, own: Names) -> DataFrame:
+    """Every column of docs, then the operator's own."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("_ps_id"), F.xxhash64(text).alias("_ps_text"), F.split(text, "\n").alias("_ps_lines"))
+    return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias(own.id), F.xxhash64(text).alias(own.text), F.split(text, "\n").alias(own.lines))
 
 
-def _windows() -> Column:
-    """(place, 128-bit hash) of each window of _ps_lines that has a word."""
-    line = F.col("_ps_hashes")
+def _windows(hashes: str) -> Column:
+    """(place, 128-bit hash) of each window of hashed lines that has a word."""
+    line = F.col(hashes)
     at = F.sequence(F.lit(0), F.size(line) - WINDOW)
 
     def window(i: Column) -> Column:
@@ -47,16 +65,16 @@ def _windows() -> Column:
 
 
 def covered_places(docs: DataFrame) -> DataFrame:
-    """(_ps_id, _ps_text, places): the first lines of windows that occurred before, for documents that have any."""
-    hashes = F.transform("_ps_lines", lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(x, F.lit(WINDOW)).alias("h2"), F.rlike(x, F.lit(r"\S")).alias("word")))
+    """(id, text, places): the first lines of windows that occurred before, for documents that have any."""
+    rows = _rows(docs.select("doc_id", "text"), Names("id", "key", "lines", ""))
+    hashes = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(x, F.lit(WINDOW)).alias("h2"), F.rlike(x, F.lit(r"\S")).alias("word")))
     found = (
-        _rows(docs)
-        .where(F.size("_ps_lines") >= WINDOW)
-        .select("_ps_id", "_ps_text", hashes.alias("_ps_hashes"))
-        .select("_ps_id", "_ps_text", F.explode(_windows()).alias("w"))
-        .select("_ps_id", "_ps_text", F.col("w.place").alias("place"), F.col("w.window").alias("window"))
+        rows.where(F.size("lines") >= WINDOW)
+        .select("id", "key", hashes.alias("hashes"))
+        .select("id", "key", F.explode(_windows("hashes")).alias("w"))
+        .select("id", "key", F.col("w.place").alias("place"), F.col("w.window").alias("window"))
     )
-    here = F.struct("_ps_id", "place")
+    here = F.struct("id", "key", "place")
     first = (
         found.groupBy(F.col("window.h1").alias("h1"), F.col("window.h2").alias("h2"))
         .agg(F.min(here).alias("first"), F.max(here).alias("last"))
@@ -64,40 +82,43 @@ def covered_places(docs: DataFrame) -> DataFrame:
         .select(F.struct("h1", "h2").alias("window"), "first")
     )
     again = found.join(first.hint("merge"), "window").where(here != F.col("first"))
-    return again.groupBy("_ps_id", "_ps_text").agg(F.collect_set("place").alias("places"))
+    return again.groupBy("id", "key").agg(F.collect_set("place").alias("places"))
 
 
-def mark_lines(docs: DataFrame) -> DataFrame:
-    """docs with _ps_lines, and _ps_gone: the sorted numbers of the lines that go."""
+def mark_lines(docs: DataFrame, own: Names) -> DataFrame:
+    """docs with the lines of each text, and the sorted numbers of the lines that go."""
     prepare(docs.sparkSession)
-    places = covered_places(docs)
-    around = F.flatten(F.transform("places", lambda p: F.array(*[p + k for k in range(WINDOW)])))
+    places = covered_places(docs).select(F.col("id").alias(own.id), F.col("key").alias(own.text), F.col("places").alias(own.gone))
+    around = F.flatten(F.transform(own.gone, lambda p: F.array(*[p + k for k in range(WINDOW)])))
     gone = F.coalesce(F.array_sort(F.array_distinct(around)), F.array().cast("array<int>"))
-    return _rows(docs).join(places, ["_ps_id", "_ps_text"], "left").withColumn("_ps_gone", gone)
+    return _rows(docs, own).join(places, [own.id, own.text], "left").withColumn(own.gone, gone)
 
 
-def kept_text() -> Column:
+def kept_text(own: Names) -> Column:
     """The text of a row of mark_lines without the lines that go."""
-    every = F.sequence(F.lit(0), F.size("_ps_lines") - 1)
-    lines = F.col("_ps_lines")
-    return F.when(F.size("_ps_gone") == 0, F.array_join(lines, "\n")).otherwise(F.array_join(F.transform(F.array_except(every, "_ps_gone"), lambda i: lines[i]), "\n"))
+    every = F.sequence(F.lit(0), F.size(own.lines) - 1)
+    lines = F.col(own.lines)
+    return F.when(F.size(own.gone) == 0, F.array_join(lines, "\n")).otherwise(F.array_join(F.transform(F.array_except(every, own.gone), lambda i: lines[i]), "\n"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, the numbers of the removed lines, and the digest of what is left."""
-    return mark_lines(docs.select("doc_id", "text")).select(
+    own = Names.beside(docs)
+    return mark_lines(docs.select("doc_id", "text"), own).select(
         "doc_id",
-        F.size("_ps_lines").cast("long").alias("n_lines"),
-        F.size("_ps_gone").cast("long").alias("n_removed"),
-        F.array_join(F.col("_ps_gone").cast("array<string>"), ",").alias("removed"),
-        F.sha2(kept_text(), 256).alias("kept_sha256"),
+        F.size(own.lines).cast("long").alias("n_lines"),
+        F.size(own.gone).cast("long").alias("n_removed"),
+        F.array_join(F.col(own.gone).cast("array<string>"), ",").alias("removed"),
+        F.sha2(kept_text(own), 256).alias("kept_sha256"),
     )
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
     """docs without the lines that go, with n_chars to match where docs has it; documents that lose all lines go."""
-    marked = mark_lines(docs).where((F.size("_ps_gone") == 0) | (F.size("_ps_gone") < F.size("_ps_lines")))
-    touched = F.size("_ps_gone") > 0
-    text = F.when(touched, kept_text()).otherwise(F.col("text"))
-    new = {"text": text} | ({"n_chars": F.when(touched, F.length(kept_text()).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    own = Names.beside(docs)
+    marked = mark_lines(docs, own).where((F.size(own.gone) == 0) | (F.size(own.gone) < F.size(own.lines)))
+    touched = F.size(own.gone) > 0
+    new = {"text": F.when(touched, kept_text(own)).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(touched, F.length(kept_text(own))).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return marked.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

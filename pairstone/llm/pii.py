@@ -14,7 +14,10 @@ Instances that reach ACCEPT are identifiers wherever they occur, and their spans
 always stay. Instances are compared by hash; contexts are read from whole texts. The graph is held in
 tables of hashes, counted before they are joined, and cut off by checkpoints after each round.
 
-Null and empty texts have no spans. Rows repeated with the same doc_id and text get equal results.
+Null and empty texts have no spans; an empty table gives no rows. Rows repeated with the same doc_id and text
+get equal results, each its own row, and a null doc_id is an id like others. There are no ties: every instance that
+reaches the threshold counts. Other columns, whatever their names, are not read; redact returns them as they are.
+A very long text is searched whole by the task that holds it, in linear time.
 """
 
 from __future__ import annotations
@@ -27,14 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairstone.llm.runtime import apart, checkpointed, prepare, small_enough
+from pairstone.llm.runtime import apart, checkpointed, map_all, own_name, prepare, small_enough
 
 #: The kinds in the order of the output.
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
 OTHER = -1
 ROUNDS, SUPPORT, CONFIDENT, ACCEPT = 3, 3, 0.5, 0.75
-#: Characters before an identifier in which its two words of context are looked for.
+#: Characters before an identifier in which its two words of context are looked for first; as many more as they need.
 REACH = 80
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -116,9 +119,15 @@ def _hash(text: str) -> int:
 
 def _context(text: str, start: int) -> tuple[int, int] | None:
     """Hashes of the last word and the last two words before a place; None at a text's beginning."""
-    words = text[max(0, start - REACH) : start].lower().split()
+    reach = REACH
+    while True:
+        words = text[max(0, start - reach) : start].rsplit(None, 2)
+        if len(words) > 2 or reach >= start:  # the last two are whole
+            break
+        reach *= 2
     if not words:
         return None
+    words = [x.lower() for x in words[-2:]]
     one = _DIGIT.sub("0", words[-1])
     return _hash(one), _hash(f"{words[-2]} {one}") if len(words) > 1 else _hash(f"^ {one}")
 
@@ -223,12 +232,17 @@ def _is_kind(kind: int) -> Callable[[Column], Column]:
     return lambda span: span["kind"] == kind
 
 
+def _added(found: DataFrame, doc_id: str, key: str, name: str) -> DataFrame:
+    """(doc_id, key, name): the added spans of each document that has any, under the given names."""
+    grouped = added_spans(found).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "kind", "end")).alias(name))
+    return grouped.withColumnsRenamed({"doc_id": doc_id, "text_key": key})
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans by kind, the digest of the base spans, and all spans."""
     found = checkpointed(extract(docs))
-    span = F.struct("start", "kind", "end")
-    added = added_spans(found).groupBy("doc_id", "text_key").agg(F.collect_list(span).alias("added")).withColumnsRenamed({"doc_id": "_ps_id", "text_key": "_ps_key"})
-    joined = found.select("doc_id", "text_key", "base").join(added, F.col("doc_id").eqNullSafe(F.col("_ps_id")) & (F.col("text_key") == F.col("_ps_key")), "left")
+    added = _added(found, "of_id", "of_key", "added")
+    joined = found.select("doc_id", "text_key", "base").join(added, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")), "left")
     none = F.array().cast(f"array<{_SPAN}>")
     every = F.array_sort(F.concat("base", F.coalesce("added", none)))
     counts = [F.size(F.filter("base", _is_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
@@ -254,10 +268,10 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs, all columns, with base and added spans of text replaced, and n_chars to match where docs has it."""
     spark = docs.sparkSession
     prepare(spark)
-    span = F.struct("start", "kind", "end")
-    added = checkpointed(added_spans(checkpointed(extract(docs))).groupBy("doc_id", "text_key").agg(F.collect_list(span).alias("_ps_added")).withColumnsRenamed({"doc_id": "_ps_id", "text_key": "_ps_key"}))
-    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_ps_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_ps_key"))
-    joined = docs.join(small_enough(added), here, "left").select(*[docs[f"`{c}`"] for c in docs.columns], "_ps_added")
+    of_id, of_key, name = (own_name(docs, x) for x in ("_ps_id", "_ps_key", "_ps_added"))
+    added = checkpointed(_added(checkpointed(extract(docs)), of_id, of_key, name))
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col(of_key))
+    joined = docs.join(small_enough(added, F.size(name)), here, "left").select(*[docs[f"`{c}`"] for c in docs.columns], name)
     columns = docs.columns
     at_text, at_size = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else -1
 
@@ -275,6 +289,6 @@ def redact(docs: DataFrame) -> DataFrame:
             if at_size >= 0:
                 sizes = zip(new, before.to_pylist(), arrays[at_size].to_pylist(), strict=True)
                 arrays[at_size] = pa.array([n if t == old else len(t) for t, old, n in sizes], batch.schema.field(at_size).type)
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+            yield pa.RecordBatch.from_arrays(arrays, names=[f"c{i}" for i in range(len(columns))])
 
-    return joined.mapInArrow(run, docs.schema)
+    return map_all(joined, run, docs)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairstone.llm.runtime import map_rows, prepare, texts
+from pairstone.llm.runtime import map_all, map_rows, prepare, texts
 
 #: Bound of the labelled sample, latent dimensions, voting neighbours, documents in a block of products.
 SAMPLE, DIMENSIONS, K, BLOCK = 4096, 24, 15, 256
@@ -156,4 +156,4 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_all(docs, run, docs)

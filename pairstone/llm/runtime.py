@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairstone.shared import written
 from pairstone.workers import importable
@@ -49,6 +50,13 @@ def map_rows(docs: DataFrame, fn: Callable[[list], dict], schema: str) -> DataFr
     return map_column(docs, lambda column: fn(column.to_pylist()), schema)
 
 
+def map_all(docs: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], like: DataFrame) -> DataFrame:
+    """mapInArrow with columns by place, as mapInArrow itself takes no names with dots; the result has the columns of like."""
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(like.schema)])
+    by_place = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return by_place.mapInArrow(fn, schema).toDF(*like.columns)
+
+
 checkpointed = written
 
 
@@ -64,9 +72,16 @@ def own_name(docs: DataFrame, name: str) -> str:
     return name
 
 
-def small_enough(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it has at most BROADCAST_ROWS rows; otherwise the join shuffles. df should be checkpointed."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def small_enough(df: DataFrame, width: Column | None = None) -> DataFrame:
+    """df, marked for broadcast if it has at most BROADCAST_ROWS rows; otherwise the join shuffles. df should be checkpointed.
+
+    width: the size of what a row holds besides, in rows, where that isn't bounded.
+    """
+    if width is None:
+        rows = df.limit(BROADCAST_ROWS + 1).count()
+    else:
+        rows = df.agg(F.sum(1 + width)).first()[0] or 0
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def apart(*columns: str) -> Column:

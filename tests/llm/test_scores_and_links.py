@@ -4,11 +4,12 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pairstone.llm import icws, pii, quality, queries, toxicity
+from pairstone.llm import bpe, cuckoo, icws, line_dedup, ogg, packing, pii, quality, queries, token_fst, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -104,6 +105,29 @@ def test_contexts_find_unseen_identifiers(spark, docs_of):
     assert red[50] == ("please charge my card number <CARD> today", 41)
 
 
+def test_contexts_are_whole_words_however_long():
+    long = "w" * 300
+    one, two = (pii._context(f"{first} {long} 12345", len(first) + 302) for first in ("one", "two"))
+    assert one[0] == two[0] == pii._hash(long) and one[1] != two[1]
+    assert pii._context("   12345", 3) is None and pii._context("12345", 0) is None
+    assert pii._context(f"number{' ' * 500}12345", 506) == (pii._hash("number"), pii._hash("^ number"))
+
+
+def test_clashing_names(clashing):
+    labels = clashing.sparkSession.createDataFrame([(3, 1, 0), (8, 0, 1), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    want = clashing.count()
+    model = quality.fit(clashing, labels, F.lit(True))
+    for stage in (line_dedup.strip_repeats, pii.redact, icws.keep_one, lambda d: quality.keep_good(d, model)):
+        out = stage(clashing)
+        assert out.columns == clashing.columns and 0 < out.count() <= want
+    for rows in (line_dedup.report, pii.report, icws.near_groups, cuckoo.copies, ogg.media_report):
+        assert rows(clashing).count() == want
+    assert toxicity.score_documents(clashing, toxicity.fit(clashing, labels, F.lit(True))).count() == want
+    word, byte = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    assert bpe.digest_documents(clashing, word).count() == token_fst.count_documents(clashing, byte, 9).count() == want
+    assert packing.pack_documents(clashing, word).where("piece = 0").count() == want
+
+
 def test_pii_of_awkward_rows(awkward, docs_of):
     assert pii.report(awkward).count() == 12
     assert pii.report(docs_of([])).collect() == []
