@@ -1,16 +1,20 @@
 """Quality scores by nearest-neighbour voting in a latent-semantic space.
 
-The terms of a text are pairs of neighbouring character shapes (runs of the same shape count
-once; punctuation marks are shapes of their own) and, by tenths, the share of its words that
-repeat earlier ones. A term counts with the logarithm of its frequency in 10,000 and its inverse
-document frequency; the leading directions of the labelled sample's term matrix span the latent
+The terms of a text are its words (lower-cased, hashed to WORDS numbers), pairs of neighbouring character
+shapes (runs of the same shape count once; punctuation marks are shapes of their own) and, by tenths, the share of its
+words that repeat earlier ones. A term counts with the logarithm of its frequency in 10,000 and its inverse
+document frequency; words and the other terms are two halves that are each brought to a length of their own, so that a
+text of many rare words still has its shapes. The leading directions of the labelled sample's term matrix span the latent
 space. Each text's cosines to all labelled vectors are computed exactly, in blocks; the K nearest
 vote for their labels, weighted by similarity.
 
 The model is fitted on at most SAMPLE labelled rows, chosen by a hash of their ids; that bounds
 what is broadcast. Scoring reads every text whole. Null or empty texts, and all texts where there
 are no labels, get the share of label 1 in the sample (0.5 without labels). Ties among neighbours
-go to the earlier vector. Labels given twice for a doc_id count once, as the larger one.
+go to the earlier vector. Labels given twice for a doc_id count once, as the larger one; of several texts with
+a labelled id, the one with the smallest hash is learnt from. Equal texts get equal scores, each row its own; doc_id may be null; an empty
+table gives no rows. Other columns, whatever their names, are not read, and keep_good returns them as they are. A very long text is
+read whole by the task that holds it, in memory proportional to its length.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairstone.llm.icws import word_hashes
 from pairstone.llm.runtime import map_all, map_rows, prepare, texts
 
 #: Bound of the labelled sample, latent dimensions, voting neighbours, documents in a block of products.
@@ -32,7 +37,11 @@ _PUNCTUATION = [b for b in range(33, 127) if not chr(b).isalnum()]
 #: Shapes: lower case, upper case, digit, blank, line end, beyond ASCII, control, then each punctuation mark.
 _SHAPES = 7 + len(_PUNCTUATION)
 REPEAT_STEPS = 10
-TERMS = _SHAPES * _SHAPES + REPEAT_STEPS
+#: Terms: shapes and repeats first, then words. What the words' half weighs against the other; rounds and spare directions of the fit.
+WORDS = 4096
+FORMS = _SHAPES * _SHAPES + REPEAT_STEPS
+TERMS = FORMS + WORDS
+WORD_WEIGHT, ROUNDS, SPARE = 0.5, 8, 16
 
 
 def _shape_table() -> np.ndarray:
@@ -57,12 +66,33 @@ def term_counts(text: str) -> np.ndarray:
     shapes = shapes[np.concatenate(([True], shapes[1:] != shapes[:-1]))]
     pairs = np.bincount(shapes[:-1] * _SHAPES + shapes[1:], minlength=_SHAPES * _SHAPES)
     out[: len(pairs)] = np.log1p(pairs * (10_000 / max(1, len(shapes) - 1)))
-    words = text.split()
-    repeated = 1 - len(set(words)) / len(words) if words else 0.0
+    words = word_hashes(text.lower().encode())
+    repeated = 1 - len(np.unique(words)) / len(words) if len(words) else 0.0
     out[len(pairs) + min(REPEAT_STEPS - 1, int(repeated * REPEAT_STEPS))] = np.log1p(10_000.0)
+    found = np.bincount((words % np.uint64(WORDS)).astype(np.int64), minlength=WORDS)
+    out[FORMS:] = np.log1p(found * (10_000 / max(1, len(words))))
     return out
 
 
+def unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+
+
+def weighted(terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Rows of terms by inverse document frequency, each half at its own length."""
+    rows = terms * idf
+    return np.concatenate((unit(rows[:, :FORMS]), WORD_WEIGHT * unit(rows[:, FORMS:])), axis=1)
+
+
+def leading_directions(rows: np.ndarray, n: int) -> np.ndarray:
+    """The n leading right singular vectors, by subspace iteration from a fixed start."""
+    basis = np.random.default_rng(5).normal(size=(rows.shape[1], min(n + SPARE, *rows.shape))).astype(np.float32)
+    for _ in range(ROUNDS):
+        basis, _ = np.linalg.qr(rows.T @ (rows @ basis))
+    _, _, turned = np.linalg.svd(rows @ basis, full_matrices=False)
+    return (basis @ turned.T)[:, :n].astype(np.float32)
+
+
 @dataclass
 class Model:
     idf: np.ndarray
@@ -72,8 +102,7 @@ class Model:
     prior: float
 
     def project(self, terms: np.ndarray) -> np.ndarray:
-        latent = (terms * self.idf) @ self.basis
-        return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+        return unit(weighted(terms, self.idf) @ self.basis)
 
     def score(self, terms: np.ndarray) -> np.ndarray:
         """Scores for a block of term vectors, by exact cosines to all labelled vectors."""
@@ -108,22 +137,24 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, sample: int = SAM
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
     label_of = {r.doc_id: r.label for r in chosen}
     ids = spark.createDataFrame([(i,) for i in label_of], "doc_id long")
-    picked = texts(docs).join(F.broadcast(ids), "doc_id")
-    got = map_rows(picked, lambda batch: {"terms": pa.array([term_counts(x).tobytes() for x in batch], pa.binary())}, "terms binary").collect()
-    rows = sorted({(r.doc_id, bytes(r.terms)) for r in got})[:sample]
+    picked = texts(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one")).select("doc_id", "one.text")
+
+    def sparse(batch: list[str]) -> dict:
+        found = [term_counts(x) for x in batch]
+        at = [np.flatnonzero(x).astype(np.uint16) for x in found]
+        return {"at": pa.array([x.tobytes() for x in at], pa.binary()), "size": pa.array([x[i].tobytes() for x, i in zip(found, at, strict=True)], pa.binary())}
+
+    got = map_rows(picked, sparse, "at binary, size binary").collect()  # bounded by sample rows of TERMS at most
+    rows = sorted((r.doc_id, bytes(r.at), bytes(r.size)) for r in got)
     prior = float(np.mean([label_of[i] for i in label_of]))
     if not rows:
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), prior)
-    matrix = np.frombuffer(b"".join(t for _, t in rows), np.float32).reshape(len(rows), TERMS)
+    matrix = np.zeros((len(rows), TERMS), np.float32)
+    for row, (_, at, size) in zip(matrix, rows, strict=True):
+        row[np.frombuffer(at, np.uint16)] = np.frombuffer(size, np.float32)
     idf = (np.log((1 + len(rows)) / (1 + (matrix > 0).sum(0))) + 1).astype(np.float32)
-    weighted = matrix * idf
-    weighted = weighted / np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-12)
-    used = np.flatnonzero(matrix.any(0))
-    values, vectors = np.linalg.eigh((weighted[:, used].T @ weighted[:, used]).astype(np.float64))
-    top = vectors[:, ::-1][:, :DIMENSIONS]
-    basis = np.zeros((TERMS, top.shape[1]), np.float32)
-    basis[used] = top
-    model = Model(idf, basis, np.zeros((0, 1), np.float32), np.array([label_of[i] for i, _ in rows], np.float64), prior)
+    basis = leading_directions(weighted(matrix, idf), DIMENSIONS)
+    model = Model(idf, basis, np.zeros((0, 1), np.float32), np.array([label_of[i] for i, _, _ in rows], np.float64), prior)
     model.vectors = model.project(matrix)
     return model
 

@@ -28,6 +28,34 @@ def test_toxicity_on_held_out_rows(spark):
     assert accuracy(spark, rows, "toxic") >= 0.95
 
 
+def test_words_make_vectors():
+    """Texts of the same shapes and different words differ, as do two scripts."""
+    texts = ["the quick brown fox jumps", "zqx wvv kjh ppp qqqq", "در این روز باران آمد", "今天 下雨 了 我们 回家"]
+    vectors = quality.weighted(np.stack([quality.term_counts(x) for x in texts]), np.ones(quality.TERMS, np.float32))
+    cosines = quality.unit(vectors) @ quality.unit(vectors).T
+    assert (cosines[np.triu_indices(4, 1)] < 0.95).all()
+    assert np.allclose(quality.term_counts("The fox"), quality.term_counts("The fox"))
+
+
+def test_scores_like_plain_votes():
+    """The fitted space and the votes, against the plain decomposition and a loop over neighbours."""
+    rnd = np.random.default_rng(2)
+    rows = (rnd.normal(size=(60, 8)) @ rnd.normal(size=(8, 90)) + 0.01 * rnd.normal(size=(60, 90))).astype(np.float32)
+    found, want = quality.leading_directions(rows, 5), np.linalg.svd(rows)[2][:5].T
+    assert np.allclose(found @ found.T, want @ want.T, atol=1e-2)
+    texts = [f"word{i % 7} other{i % 5} {'!' * (i % 3)} end{i % 11}" for i in range(80)]
+    terms = np.stack([quality.term_counts(x) for x in texts])
+    model = quality.Model(np.ones(quality.TERMS, np.float32), quality.leading_directions(quality.weighted(terms, np.ones(quality.TERMS, np.float32)), 6), np.zeros((0, 1)), rnd.integers(0, 2, 80).astype(float), 0.5)
+    model.vectors = model.project(terms)
+    got = model.score(terms[:20])
+    for i in range(20):
+        cosines = model.vectors @ model.project(terms[i : i + 1])[0]
+        near = sorted(range(80), key=lambda j: (-cosines[j], j))[: quality.K]
+        ties = abs(np.sort(cosines)[::-1][quality.K - 1] - np.sort(cosines)[::-1][quality.K]) < 1e-6
+        weights = [max(0.0, cosines[j]) for j in near]
+        assert ties or got[i] == pytest.approx(sum(w * model.labels[j] for w, j in zip(weights, near, strict=True)) / sum(weights), abs=1e-5)
+
+
 def test_neighbours_are_exact():
     rnd = np.random.default_rng(1)
     vectors = rnd.normal(size=(300, 4)).astype(np.float32)
