@@ -43,8 +43,8 @@ PACKED = f"{PIECES}, sequence_id long, offset long"
 class LibraryEncoder(WordEncoder):
     """Ids by the library's merges, which see each string between white space once while it is remembered."""
 
-    #: About 300 MB in a worker.
-    memo_words = 1_500_000
+    #: About 150 MB in a worker.
+    memo_words = 600_000
 
     def __init__(self, path: str):
         super().__init__(path)
