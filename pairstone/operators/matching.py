@@ -27,23 +27,28 @@ NO_LEVEL = 99
 BUCKETS = ("RANKED", "PROVISIONAL_ABO", "INSUFFICIENT_HLA", "INSUFFICIENT_ABO", "ABO_INCOMPATIBLE", "BLOCKED_DSA_OR_LAB_REVIEW", "BLOCKED_POSITIVE_CROSSMATCH", "EXCLUDED_NON_CLINICAL")
 DONATES_TO = {"O": ("O", "A", "B", "AB"), "A": ("A", "AB"), "B": ("B", "AB"), "AB": ("AB",)}
 POLICY = "PAIR_SCREEN_2"
-SALTS = 8
+#: Donors of one part of a group in a join of pairs, and parts that there are at least.
+PART, LEAST_PARTS = 4096, 8
 
 
-def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each person: traits, and a struct(typing, alleles, tier) for each locus."""
-    parsed = source.typings(spark, sf_dir).select("side", "key", "locus", alleles.locus_value(F.col("value"), F.col("second_allele"), F.col("locus")).alias("v"), "tier")
+def profiles(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
+    """One row for each person: traits, and a struct(typing, alleles, tier) for each locus. only: a condition on side and key, applied before anything is parsed."""
+    kept = F.lit(True) if only is None else only
+    rows = source.typings(spark, sf_dir).where(kept)
+    parsed = rows.select("side", "key", "locus", alleles.locus_value(F.col("value"), F.col("second_allele"), F.col("locus")).alias("v"), "tier")
     parsed = parsed.select("side", "key", "locus", "tier", "v.typing", "v.alleles", alleles.prepared(F.col("v.alleles")).alias("cut"))
     cell = F.struct("typing", "alleles", "tier", "cut.least", "cut.at")
     wide = parsed.groupBy("side", "key").agg(*[F.max(F.when(F.col("locus") == name, cell)).alias(name) for name in LOCI])
-    return source.traits(spark, sf_dir).join(wide, ["side", "key"])
+    return source.traits(spark, sf_dir).where(kept).join(wide, ["side", "key"])
 
 
 def mismatch(donor: Column, recipient: Column) -> Column:
     """struct(status, lower, upper, depth): KNOWN, RANGE or UNKNOWN; UNKNOWN carries no numbers."""
     to = F.least(donor["least"], recipient["least"])
-    lacking = F.size(F.array_except(F.element_at(donor["at"], to), F.element_at(recipient["at"], to)))
-    usable = donor["typing"].isin(alleles.ONE, alleles.BOTH) & recipient["typing"].isin(alleles.ONE, alleles.BOTH)
+    given, had = F.element_at(donor["at"], to), F.element_at(recipient["at"], to)
+    # A person has at most two distinct alleles; two look-ups build no array for the pair.
+    lacking = sum(((F.size(given) > i).cast("int") * (~F.coalesce(F.array_contains(had, F.get(given, F.lit(i))), F.lit(False))).cast("int") for i in range(2)), F.lit(0))
+    usable = typed(donor) & typed(recipient)
     known = (donor["typing"] == alleles.BOTH) & (recipient["typing"] == alleles.BOTH)
     upper = F.least(F.lit(2), lacking + (donor["typing"] == alleles.ONE).cast("int"))
     lower = F.least(upper, F.greatest(F.lit(0), lacking - (recipient["typing"] == alleles.ONE).cast("int")))
@@ -51,6 +56,10 @@ def mismatch(donor: Column, recipient: Column) -> Column:
     return F.struct(F.when(~usable, "UNKNOWN").when(known, "KNOWN").otherwise("RANGE").alias("status"), F.when(usable, lower).alias("lower"), F.when(usable, upper).alias("upper"), F.when(usable, to).alias("depth"))
 
 
+def typed(cell: Column) -> Column:
+    return cell["typing"].isin(alleles.ONE, alleles.BOTH)
+
+
 def presence(donor: Column, recipient: Column) -> Column:
     """-1 where either side is unknown or under review, 1 for a present gene against an absent one, else 0."""
     settled = donor.isin("PRESENT", "ABSENT") & recipient.isin("PRESENT", "ABSENT")
@@ -76,44 +85,82 @@ def charge(locus: str, count: Column, dr_matched: Column) -> Column:
     return F.floor(gate * due / 10).cast("int")
 
 
+def dealt(donors: DataFrame, recipients: DataFrame, parts: int) -> DataFrame:
+    """Every donor with every recipient, as rows (r, d): donors are dealt over parts, and recipients meet every part. An equi-join, no nested loop."""
+    d = donors.select(F.pmod(F.xxhash64("*"), F.lit(parts)).cast("int").alias("part"), F.struct("*").alias("d"))
+    r = recipients.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.struct("*").alias("r"))
+    return r.join(d, "part").drop("part")
+
+
 def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every donor with every recipient, the smaller side broadcast where it is small."""
-    everyone = profiles(spark, sf_dir)
-    donors = everyone.where("side = 'D'").select(F.struct("*").alias("d"))
-    recipients = everyone.where("side = 'R'").select(F.struct("*").alias("r"))
-    return recipients.crossJoin(donors)
+    """Every donor with every recipient: for reports on small pools, whose rows are pairs."""
+    donors, recipients = (profiles(spark, sf_dir, F.col("side") == side) for side in "DR")
+    return dealt(donors, recipients, parts_of(source.table(spark, sf_dir, "supplier").count()))
+
+
+def parts_of(donors: int) -> int:
+    return max(LEAST_PARTS, -(-donors // PART))
 
 
-def possible_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def possible_pairs(spark: SparkSession, sf_dir: str, recipient: int | None = None) -> DataFrame:
     """Only pairs whose groups fit: an equi-join on the groups that a donor may give to, no nested loop.
 
-    There are four groups, so the donors of each are dealt over SALTS parts, and the recipients meet every part.
+    There are four groups, so the donors of each are dealt over parts of about PART of them, as many as the pool
+    needs, and the recipients meet every part. With a recipient's key only that one is read.
     """
-    everyone = profiles(spark, sf_dir).withColumn("group", F.upper(F.trim("abo")))
+    group = F.upper(F.trim("abo"))
     to = F.create_map(*[x for g, t in DONATES_TO.items() for x in (F.lit(g), F.array(*map(F.lit, t)))])
-    donors = everyone.where(F.col("side") == "D").where(F.col("group").isin(*DONATES_TO)).select(F.explode(to[F.col("group")]).alias("target"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"), F.struct("*").alias("d"))
-    recipients = everyone.where("side = 'R'").select(F.col("group").alias("target"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.struct("*").alias("r"))
-    return recipients.join(donors, ["target", "salt"]).drop("target", "salt")
+    parts = parts_of(source.table(spark, sf_dir, "supplier").count())
+    donors = profiles(spark, sf_dir, F.col("side") == "D").withColumn("group", group).where(F.col("group").isin(*DONATES_TO))
+    donors = donors.select(F.explode(to[F.col("group")]).alias("target"), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), F.struct("*").alias("d"))
+    wanted = (F.col("side") == "R") if recipient is None else (F.col("side") == "R") & (F.col("key") == recipient)
+    recipients = profiles(spark, sf_dir, wanted).withColumn("group", group)
+    recipients = recipients.select(F.col("group").alias("target"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.struct("*").alias("r"))
+    return recipients.join(donors, ["target", "part"]).drop("target", "part")
 
 
-def scored(pairs: DataFrame, anchor: str = "r") -> DataFrame:
-    """Vectors, bucket, level, penalties and the sort key's columns for rows of (d, r)."""
-    candidate = "d" if anchor == "r" else "r"
+def bucket(eligible: Column, positive: Column, dsa: Column, gate: Column, readable: Column, typed_enough: Column) -> Column:
+    """The number in BUCKETS: the first reason that holds, from the strongest."""
+    return F.when(~eligible, 7).when(positive, 6).when(dsa, 5).when(gate == "INCOMPATIBLE", 4).when(~readable, 3).when(~typed_enough, 2).when(gate == "UNKNOWN", 1).otherwise(0)
+
+
+def readable_groups(donor: Column, recipient: Column) -> Column:
+    return F.coalesce(F.upper(F.trim(donor)).isin(*DONATES_TO) & F.upper(F.trim(recipient)).isin(*DONATES_TO), F.lit(False))
+
+
+GATE_TRAITS = ("abo", "lab", "eligible", "positive", "dsa", "sufficient")
+
+
+def gate_classes(spark: SparkSession, sf_dir: str, side: str, *more: str) -> DataFrame:
+    """How many persons of a side share what the gates look at (GATE_TRAITS): a few hundred classes, whatever the pool."""
+    everyone = profiles(spark, sf_dir, F.col("side") == side)
+    traits = everyone.select("key", "abo", "lab", "eligible", (F.col("crossmatch") == "POSITIVE").alias("positive"), "dsa", (typed(F.col("DRB1")) & typed(F.col("B"))).alias("sufficient"))
+    return traits.groupBy(*GATE_TRAITS, *more).agg(F.count("*").alias("n"))
+
+
+def gated_classes(donors: DataFrame, recipients: DataFrame) -> DataFrame:
+    """abo_gate and bucket of each class of donors with each class of recipients, and the pairs that they stand for."""
+    d, r = F.col("d"), F.col("r")
+    met = dealt(donors, recipients, LEAST_PARTS)
+    gate = abo_gate(d["abo"], r["abo"], d["lab"], r["lab"])
+    found = bucket(d["eligible"] & r["eligible"], d["positive"] | r["positive"], r["dsa"], gate, readable_groups(d["abo"], r["abo"]), d["sufficient"] & r["sufficient"])
+    return met.select("d", "r", gate.alias("abo_gate"), found.alias("bucket"), (d["n"] * r["n"]).alias("pairs"))
+
+
+def scored(pairs: DataFrame) -> DataFrame:
+    """Vectors, bucket, level, penalties and the sort key's columns (but the tiebreak) for rows of (d, r)."""
     d, r = F.col("d"), F.col("r")
     vector = pairs.select("d", "r", *[mismatch(d[x], r[x]).alias(f"mm_{x}") for x in LOCI], *[presence(d[g], r[g]).alias(f"pr_{g}") for g in PRESENCE], abo_gate(d["abo"], r["abo"], d["lab"], r["lab"]).alias("abo_gate"))
     up = {x: F.col(f"mm_{x}.upper") for x in LOCI}
     low = {x: F.col(f"mm_{x}.lower") for x in LOCI}
     dr_matched = F.coalesce(up["DRB1"] == 0, F.lit(False))
-    readable = F.coalesce(F.upper(F.trim(d["abo"])).isin(*DONATES_TO) & F.upper(F.trim(r["abo"])).isin(*DONATES_TO), F.lit(False))
-    bucket = (
-        F.when(~(d["eligible"] & r["eligible"]), 7)
-        .when((d["crossmatch"] == "POSITIVE") | (r["crossmatch"] == "POSITIVE"), 6)
-        .when(r["dsa"], 5)
-        .when(F.col("abo_gate") == "INCOMPATIBLE", 4)
-        .when(~readable, 3)
-        .when(up["DRB1"].isNull() | up["B"].isNull(), 2)
-        .when(F.col("abo_gate") == "UNKNOWN", 1)
-        .otherwise(0)
+    found = bucket(
+        d["eligible"] & r["eligible"],
+        (d["crossmatch"] == "POSITIVE") | (r["crossmatch"] == "POSITIVE"),
+        r["dsa"],
+        F.col("abo_gate"),
+        readable_groups(d["abo"], r["abo"]),
+        up["DRB1"].isNotNull() & up["B"].isNotNull(),
     )
     open_genes = sum(((F.col(f"pr_{g}") != 0).cast("int") for g in PRESENCE), F.lit(0))
     gate = F.when(dr_matched, GATE_FULL).otherwise(GATE_HALF)
@@ -124,7 +171,7 @@ def scored(pairs: DataFrame, anchor: str = "r") -> DataFrame:
     partial = sum(((F.col(f"mm_{x}.status") == "RANGE").cast("int") for x in LOCI), F.lit(0))
     return vector.select(
         "*",
-        bucket.alias("bucket"),
+        found.alias("bucket"),
         level(up["DRB1"], up["B"], up["A"]).alias("level"),
         level(low["DRB1"], low["B"], low["A"]).alias("best_level"),
         F.when(F.coalesce(up["DQB1"] == 0, F.lit(False)), 0).otherwise(1).alias("dq"),
@@ -132,7 +179,6 @@ def scored(pairs: DataFrame, anchor: str = "r") -> DataFrame:
         evidence.alias("evidence"),
         unknown.alias("unknown"),
         partial.alias("partial"),
-        F.sha2(F.concat_ws("|", F.lit(POLICY), F.col(anchor)["key"].cast("string"), F.col(candidate)["key"].cast("string")), 256).alias("tiebreak"),
     )
 
 
@@ -140,11 +186,19 @@ SORT_KEY = ("bucket", "level", "dq", "penalty", "evidence", "unknown", "partial"
 
 
 def ranked(pairs: DataFrame, k: int, anchor: str = "r") -> DataFrame:
-    """The first k candidates of each anchor among the ranked buckets; blocked pairs never appear."""
+    """The first k candidates of each anchor among the ranked buckets; blocked pairs never appear.
+
+    The hash that breaks ties is made only for pairs that are among the first k without it.
+    """
     candidate = "d" if anchor == "r" else "r"
-    keep = scored(pairs, anchor).where(F.col("bucket") <= 1).select(F.col(anchor)["key"].alias("anchor"), F.col(candidate)["key"].alias("candidate"), *SORT_KEY)
+    keep = scored(pairs).where(F.col("bucket") <= 1).select(F.col(anchor)["key"].alias("anchor"), F.col(candidate)["key"].alias("candidate"), *SORT_KEY[:-1])
+    near = keep.withColumn("near", F.rank().over(W.partitionBy("anchor").orderBy(*SORT_KEY[:-1]))).where(F.col("near") <= k).drop("near")
     place = F.row_number().over(W.partitionBy("anchor").orderBy(*SORT_KEY))
-    return keep.withColumn("place", place).where(F.col("place") <= k)
+    return near.withColumn("tiebreak", tiebreak(F.col("anchor"), F.col("candidate"))).withColumn("place", place).where(F.col("place") <= k)
+
+
+def tiebreak(anchor: Column, candidate: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(POLICY), anchor.cast("string"), candidate.cast("string")), 256)
 
 #: What comes next for each bucket, in their order.
 NEXT_ACTION = ("proceed to clinical evaluation", "obtain a laboratory blood group", "obtain HLA typing", "obtain a laboratory blood group", "not a candidate on the direct pathway", "laboratory review", "direct pathway blocked", "none")
@@ -173,4 +227,6 @@ def explained(rows: DataFrame) -> DataFrame:
         F.coalesce(unreachable, F.lit("")).alias("first_level_unreachable"),
         F.concat_ws(",", *same).alias("same_alleles"),
         action.alias("next_action"),
+        F.concat_ws(",", *[F.when(F.col(f"mm_{x}.upper").isNull(), x) for x in LOCI], *[F.when(F.col(f"pr_{g}") == -1, g) for g in PRESENCE]).alias("unknown_loci"),
+        F.concat_ws(",", *[F.when(F.col(f"mm_{x}.status") == "RANGE", x) for x in LOCI]).alias("partial_loci"),
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairstone.shared import written
+
 from pairstone.sources.facts import GENES
 
 
@@ -64,20 +66,19 @@ def queue(facts: DataFrame) -> DataFrame:
 
 
 def systematic(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Every n-th of `size` places of rows in the order of key: places are counted within ranges, then shifted by the ranges before."""
-    parts = rows.repartitionByRange(key).select(key, F.spark_partition_id().alias("part"))
-    counts = parts.groupBy("part").agg(F.count("*").alias("n"), F.min(key).alias("low")).orderBy("part").collect()  # one row for each partition
+    """Every n-th of `size` places of rows in the order of key: rows are numbered within written ranges, then shifted by the ranges before."""
+    number = F.monotonically_increasing_id()
+    ranges = rows.select(key).repartitionByRange(key).sortWithinPartitions(key)
+    parts = written(ranges.select(key, F.shiftright(number, 33).cast("int").alias("part"), number.bitwiseAND(F.lit((1 << 33) - 1)).alias("within")))
+    counts = parts.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()  # one row for each partition
     total, starts, before = sum(r.n for r in counts), [], 0
     for r in counts:
-        starts.append((r.low, before))
+        starts.append((r.part, before))
         before += r.n
     if not total:
-        return rows
+        return rows.select(key)
     step = max(1, total // size)
-    offsets = rows.sparkSession.createDataFrame(starts, f"low {rows.schema[key].dataType.simpleString()}, before long")
-    from pyspark.sql import Window as W
+    offsets = rows.sparkSession.createDataFrame(starts, "part int, before long")
+    place = F.col("before") + F.col("within")
+    return parts.join(F.broadcast(offsets), "part").where((place % step == 0) & (place < step * size)).select(key)
 
-    ranges = offsets.withColumn("high", F.lead("low").over(W.orderBy("low")))
-    placed = rows.join(F.broadcast(ranges), (F.col(key) >= F.col("low")) & (F.col("high").isNull() | (F.col(key) < F.col("high"))))
-    place = F.col("before") + F.row_number().over(W.partitionBy("low").orderBy(key)) - 1
-    return placed.withColumn("place", place).where((F.col("place") % step == 0) & (F.col("place") < step * size)).select(key)

@@ -44,14 +44,16 @@ def mismatch_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.with_(sql.PEOPLE, sql.PARSED, sql.MISMATCHES, sql.SCORED) + "SELECT p3, p4, p5, count(*) AS pairs FROM gated GROUP BY ALL")
 def presence_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = source.traits(spark, sf_dir).groupBy("side", *m.PRESENCE).agg(F.count("*").alias("n"))
-    d, r = (rows.where(F.col("side") == x).select(F.struct("*").alias(x.lower())) for x in "DR")
+    met = m.dealt(*(rows.where(F.col("side") == x).drop("side") for x in "DR"), m.LEAST_PARTS)  # classes of persons
     genes = [m.presence(F.col("d")[g], F.col("r")[g]).alias(f"p{g[-1]}") for g in m.PRESENCE]
-    return d.crossJoin(F.broadcast(r)).groupBy(*genes).agg(F.sum(F.col("d.n") * F.col("r.n")).alias("pairs"))
+    return met.groupBy(*genes).agg(F.sum(F.col("d.n") * F.col("r.n")).alias("pairs"))
 
 
 @query(sql.with_(sql.PEOPLE, sql.PARSED, sql.MISMATCHES, sql.SCORED) + "SELECT abo_gate, bucket, count(*) AS pairs FROM scored GROUP BY ALL")
 def bucket_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.scored(m.all_pairs(spark, sf_dir)).groupBy("abo_gate", "bucket").agg(F.count("*").alias("pairs"))
+    """Pairs by gate and bucket, from the classes of persons that the gates can tell apart."""
+    donors, recipients = (m.gate_classes(spark, sf_dir, side) for side in "DR")
+    return m.gated_classes(donors, recipients).groupBy("abo_gate", "bucket").agg(F.sum("pairs").alias("pairs"))
 
 
 @query(sql.with_(sql.PEOPLE, sql.PARSED, sql.MISMATCHES, sql.SCORED) + "SELECT level, best_level, count(*) AS pairs, min(penalty) AS least_penalty, max(penalty) AS most_penalty FROM scored WHERE bucket <= 1 GROUP BY ALL")
@@ -80,8 +82,7 @@ FLAGSHIP_RECIPIENT, FLAGSHIP_TOP = 31, 10
 @query(sql.ranking("recipient", "donor", FLAGSHIP_TOP, f"recipient = {FLAGSHIP_RECIPIENT}"))
 def rank_donors_for_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One recipient against every donor: the id reaches the scan, so the join is linear in the donors."""
-    pairs = m.possible_pairs(spark, sf_dir).where(F.col("r.key") == FLAGSHIP_RECIPIENT)
-    return m.ranked(pairs, FLAGSHIP_TOP, "r")
+    return m.ranked(m.possible_pairs(spark, sf_dir, FLAGSHIP_RECIPIENT), FLAGSHIP_TOP, "r")
 
 
 @query(
@@ -90,17 +91,21 @@ def rank_donors_for_one(spark: SparkSession, sf_dir: str) -> DataFrame:
        min(CASE WHEN bucket <= 1 THEN level END) AS best FROM scored GROUP BY recipient"""
 )
 def pool_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        m.scored(m.all_pairs(spark, sf_dir))
-        .groupBy(F.col("r.key").alias("recipient"))
-        .agg(
-            F.count("*").alias("candidates"),
-            F.count_if(F.col("bucket") <= 1).alias("ranked"),
-            F.count_if(F.col("bucket") == 0).alias("cleared"),
-            F.count_if(F.col("bucket") >= 4).alias("blocked"),
-            F.min(F.when(F.col("bucket") <= 1, F.col("level"))).alias("best"),
-        )
+    """Counts by classes of persons; only the best level needs pairs, and of them only those that can be ranked."""
+    classes = m.gated_classes(m.gate_classes(spark, sf_dir, "D"), m.gate_classes(spark, sf_dir, "R"))
+    of = [F.col(f"r.{c}").alias(c) for c in m.GATE_TRAITS]
+    size = F.col("d.n")
+    counts = classes.groupBy(*of).agg(
+        F.sum(size).alias("candidates"),
+        F.sum(F.when(F.col("bucket") <= 1, size).otherwise(0)).alias("ranked"),
+        F.sum(F.when(F.col("bucket") == 0, size).otherwise(0)).alias("cleared"),
+        F.sum(F.when(F.col("bucket") >= 4, size).otherwise(0)).alias("blocked"),
     )
+    people = m.gate_classes(spark, sf_dir, "R", "key").drop("n")
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in m.GATE_TRAITS]
+    best = m.scored(m.possible_pairs(spark, sf_dir)).where("bucket <= 1").groupBy(F.col("r.key").alias("key")).agg(F.min("level").alias("best"))
+    told = people.alias("x").join(F.broadcast(counts).alias("y"), same).select("x.key", "y.candidates", "y.ranked", "y.cleared", "y.blocked")  # a few hundred classes
+    return told.join(best, "key", "left").withColumnRenamed("key", "recipient")
 
 
 @query(
@@ -121,21 +126,33 @@ def genotype_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CELLS = " || ';' || ".join(f"'{x}=' || s_{x} || coalesce('[' || l_{x} || '-' || u_{x} || ']', '')" for x in ("A", "B", "C", "DRB1", "DQB1"))
+_UNKNOWN = "concat_ws(',', " + ", ".join(f"CASE WHEN u_{x} IS NULL THEN '{x}' END" for x in ("A", "B", "C", "DRB1", "DQB1")) + ", " + ", ".join(f"CASE WHEN p{x[-1]} = -1 THEN '{x}' END" for x in m.PRESENCE) + ")"
+_PARTIAL = "concat_ws(',', " + ", ".join(f"CASE WHEN s_{x} = 'RANGE' THEN '{x}' END" for x in ("A", "B", "C", "DRB1", "DQB1")) + ")"
 _SAME = ", ".join(f"max(CASE WHEN locus = '{x}' AND typing = 'BOTH' AND len(list_distinct(alleles)) = 1 THEN '{x}' END)" for x in ("DRB1", "DQB1", "A", "B"))
 
 
-@query(
+#: Explanations of all pairs of the pool; the query has the ranked ones.
+ALL_EXPLANATIONS = (
     sql.with_(sql.PEOPLE, sql.PARSED, sql.MISMATCHES, sql.SCORED)
-    + f""", twins AS (SELECT key, concat_ws(',', {_SAME}) AS same_alleles FROM parsed WHERE side = 'R' GROUP BY key)
-SELECT donor, recipient, bucket, {_CELLS} AS mismatches,
+    + f""", twins AS (SELECT key, concat_ws(',', {_SAME}) AS same_alleles FROM parsed WHERE side = 'R' GROUP BY key),
+told AS (SELECT donor, recipient, bucket, {_CELLS} AS mismatches,
        CASE WHEN bucket >= 4 THEN concat_ws(',', CASE WHEN NOT eligible THEN 'eligibility' END, CASE WHEN positive THEN 'crossmatch' END, CASE WHEN dsa THEN 'dsa' END, CASE WHEN abo_gate = 'INCOMPATIBLE' THEN 'abo' END) ELSE '' END AS blockers,
        CASE WHEN coalesce(level <> 1 AND u_DRB1 = 0 AND u_B = 0, false) THEN coalesce(u_A || ' mismatches at A', 'A unknown') ELSE '' END AS first_level_unreachable,
-       same_alleles, ({list(m.NEXT_ACTION)})[bucket + 1] AS next_action
-FROM scored JOIN twins ON twins.key = recipient WHERE donor < 5"""
+       same_alleles, ({list(m.NEXT_ACTION)})[bucket + 1] AS next_action,
+       {_UNKNOWN} AS unknown_loci, {_PARTIAL} AS partial_loci,
+       row_number() OVER (PARTITION BY recipient ORDER BY bucket, level, dq, penalty, evidence, unknown, partial, sha256('PAIR_SCREEN_2|' || recipient || '|' || donor)) AS place
+FROM scored JOIN twins ON twins.key = recipient)
+SELECT * EXCLUDE (place) FROM told"""
 )
+
+
+@query(f"{ALL_EXPLANATIONS} WHERE bucket <= 1 AND place <= {TOP}")
 def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why each pair stands where it does. The SQL beside it has only the donors under 5."""
-    return m.explained(m.scored(m.all_pairs(spark, sf_dir)))
+    """Why each of a recipient's ranked donors stands where it does."""
+    first = m.ranked(m.possible_pairs(spark, sf_dir), TOP, "r").select(F.col("anchor").alias("recipient"), F.col("candidate").alias("donor"))
+    donors = m.profiles(spark, sf_dir, F.col("side") == "D").select(F.col("key").alias("donor"), F.struct("*").alias("d"))
+    recipients = m.profiles(spark, sf_dir, F.col("side") == "R").select(F.col("key").alias("recipient"), F.struct("*").alias("r"))
+    return m.explained(m.scored(first.join(donors, "donor").join(recipients, "recipient").select("d", "r")))
 
 
 @query(

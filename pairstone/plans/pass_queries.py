@@ -67,9 +67,9 @@ def media_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passes.carried_conflicts(refused, rows.select("id", F.floor(F.col("id") * 5 / 8).alias("profile")))
 
 
-@query(f"WITH {MESSAGES_SQL}, m AS (SELECT page, substr(body, 1, 20) AS body, row_number() OVER (PARTITION BY page ORDER BY sent_at, message_id) AS place, count(*) OVER (PARTITION BY page) AS \"of\" FROM messages) SELECT * FROM m WHERE place <= 10")
+@query(f"WITH {MESSAGES_SQL}, m AS (SELECT page, substr(body, 1, 1500) AS body, row_number() OVER (PARTITION BY page ORDER BY sent_at, message_id) AS place, count(*) OVER (PARTITION BY page) AS \"of\" FROM messages) SELECT * FROM m WHERE place <= 60")
 def bounded_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """60 messages of 1500 characters for a page. The SQL beside it has 10 of 20."""
+    """60 messages of 1500 characters for a page."""
     return passes.bounded_list(messages(spark, sf_dir), "page", ["sent_at", "message_id"], 60, "body", 1500)
 
 

@@ -1,4 +1,4 @@
-"""Messages in the shape of a chat export, derived from conversations and events; pages as they come."""
+"""Messages in the shape of a chat export, derived from conversations; a page holds PAGE conversations."""
 
 from __future__ import annotations
 
@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from pairstone.sources.people import table
 
+#: Conversations of a page, so that pages grow in number, not in size.
+PAGE = 20
+
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page, message_id, sender (null where the export repeats none), is_service, is_joined, sent_at, reply_to, body (the whole text; MESSAGES_SQL has 80 characters)."""
+    """page, message_id, sender (null where the export repeats none), is_service, is_joined, sent_at, reply_to, body."""
     conv, turn = F.col("conv_id"), F.col("turn")
     number = (conv * 100 + turn).cast("long")
     return table(spark, sf_dir, "conversations").select(
-        (conv % 20).cast("long").alias("page"),
+        F.floor(conv / PAGE).cast("long").alias("page"),
         number.alias("message_id"),
         F.when(number % 3 == 0, F.concat(F.col("role"), (conv % 5).cast("string"))).alias("sender"),
         (number % 11 == 5).alias("is_service"),
@@ -24,13 +27,13 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-MESSAGES_SQL = """
+MESSAGES_SQL = f"""
 messages AS (
-    SELECT conv_id % 20 AS page, conv_id * 100 + turn AS message_id,
+    SELECT conv_id // {PAGE} AS page, conv_id * 100 + turn AS message_id,
            CASE WHEN (conv_id * 100 + turn) % 3 = 0 THEN role || (conv_id % 5) END AS sender,
            (conv_id * 100 + turn) % 11 = 5 AS is_service, (conv_id * 100 + turn) % 4 <> 0 AS is_joined,
            1700000000 + conv_id * 600 + turn * (conv_id % 7) * 60 AS sent_at,
            CASE WHEN (conv_id * 100 + turn) % 5 = 0 THEN conv_id * 100 + turn - turn % 3 - 1 END AS reply_to,
-           substr(text, 1, 80) AS body
+           text AS body
     FROM conversations
 )"""

@@ -34,10 +34,15 @@ def test_depth_and_truncation(spark):
     assert [tuple(r) for r in rows] == [(1, "A*02", "A*02"), (2, "A*02", "A*02:01"), (1, "A*24N", "A*24N"), (2, "A*24", "A*24N:02"), (2, "A*02", "A*02::01")]
 
 
-def _cell(typing, *names):
-    made = F.array(*[F.lit(x) for x in names]).cast("array<string>")
-    cut = alleles.prepared(made)
-    return F.struct(F.lit(typing).alias("typing"), made.alias("alleles"), F.lit("A").alias("tier"), cut["least"].alias("least"), cut["at"].alias("at"))
+def compared(spark, pairs):
+    """The mismatch of each pair of cells (typing, allele, ...)."""
+    rows = spark.createDataFrame([(i, d[0], [*d[1:]], r[0], [*r[1:]]) for i, (d, r) in enumerate(pairs)], "i int, dt string, da array<string>, rt string, ra array<string>")
+
+    def cell(side):
+        cut = alleles.prepared(F.col(f"{side}a"))
+        return F.struct(F.col(f"{side}t").alias("typing"), F.col(f"{side}a").alias("alleles"), F.lit("A").alias("tier"), cut["least"].alias("least"), cut["at"].alias("at"))
+
+    return [r.x for r in rows.select("i", cell("d").alias("d"), cell("r").alias("r")).select("i", m.mismatch(F.col("d"), F.col("r")).alias("x")).orderBy("i").collect()]
 
 
 @pytest.mark.parametrize(
@@ -55,7 +60,7 @@ def _cell(typing, *names):
     ],
 )
 def test_mismatch(spark, donor, recipient, expected):
-    row = spark.range(1).select(_cell(*donor).alias("d"), _cell(*recipient).alias("r")).select(m.mismatch(F.col("d"), F.col("r")).alias("x")).first().x
+    (row,) = compared(spark, [(donor, recipient)])
     assert (row.status, row.lower, row.upper) == expected
 
 
@@ -63,12 +68,10 @@ def test_asymmetry_of_known_counts(spark):
     """MM(D->R) - MM(R->D) = distinct donor alleles - distinct recipient alleles, over a whole grid."""
     names = ["A*01", "A*02", "A*03"]
     cells = [("BOTH", a, b) for a in names for b in names]
-    for d in cells:
-        forth = [m.mismatch(_cell(*d), _cell(*r))["upper"].alias(f"f{i}") for i, r in enumerate(cells)]
-        back = [m.mismatch(_cell(*r), _cell(*d))["upper"].alias(f"b{i}") for i, r in enumerate(cells)]
-        row = spark.range(1).select(*forth, *back).first()
-        for i, r in enumerate(cells):
-            assert row[f"f{i}"] - row[f"b{i}"] == len(set(d[1:])) - len(set(r[1:]))
+    pairs = [(d, r) for d in cells for r in cells]
+    forth, back = compared(spark, pairs), compared(spark, [(r, d) for d, r in pairs])
+    for (d, r), x, y in zip(pairs, forth, back, strict=True):
+        assert x.upper - y.upper == len(set(d[1:])) - len(set(r[1:]))
 
 
 def test_levels(spark):
