@@ -64,29 +64,3 @@ def duplicate_candidates(facts: DataFrame) -> DataFrame:
     keyed = wide.where(F.col("m")["A"].isNotNull() & F.col("m")["B"].isNotNull() & F.col("m")["DRB1"].isNotNull()).select("profile", key.alias("genotype"))
     least = keyed.groupBy("genotype").agg(F.min("profile").alias("low"), F.count("*").alias("n")).where("n > 1")
     return keyed.join(least, "genotype").where("profile > low").select("genotype", "low", F.col("profile").alias("high"), F.col("n").alias("group_size"))
-
-
-def checks(facts: DataFrame, route: DataFrame) -> DataFrame:
-    """Invariants of a build, each with its number of violations; a good build has none."""
-    source = facts.select("profile", "field", "digest", F.col("value").alias("stored"), "status")
-    published = route.where("route = 'fact'")
-
-    def count(name: str, rows: DataFrame) -> DataFrame:
-        return rows.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
-
-    parts = [
-        count("one_route_for_each_field", route.groupBy("profile", "field").count().where("count > 1")),
-        count("fact_has_value", published.where("value IS NULL OR value = ''")),
-        count("fact_value_is_in_source", published.join(source.where("status = 'RESOLVED'"), ["profile", "field", "digest"], "left").where("stored IS NULL OR stored <> value")),
-        count("fact_is_unanimous", published.where(F.size("values") != 1)),
-        count("conflict_has_two_values", route.where("route = 'conflict'").where(F.size("values") < 2)),
-        count("counters_add_up", route.where("members_unresolved > members_answering")),
-        count("profile_is_not_empty", route.select("profile").distinct().join(facts.select("profile").distinct(), "profile", "left_anti")),
-        count("every_profile_is_routed", facts.select("profile").distinct().join(route.select("profile").distinct(), "profile", "left_anti")),
-        count("unknown_has_a_state", route.where("route = 'unknown' AND state IS NULL")),
-        count("document_is_in_one_profile", facts.groupBy("digest").agg(F.count_distinct("profile").alias("n")).where("n > 1")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out

@@ -42,6 +42,13 @@ def profiles(spark: SparkSession, sf_dir: str, only: Column | None = None) -> Da
     return source.traits(spark, sf_dir).where(kept).join(wide, ["side", "key"])
 
 
+def of_side(rows: DataFrame, side: str) -> DataFrame:
+    """rows, all of which must be of a side: a ranking around an anchor of the other one would answer another question."""
+    name = {"R": "recipient", "D": "donor"}[side]
+    wrong = F.raise_error(F.concat(F.lit(f"profile is no {name}: "), F.col("key").cast("string")))
+    return rows.where(F.when(F.col("side") == side, True).otherwise(wrong.cast("boolean")))
+
+
 def mismatch(donor: Column, recipient: Column) -> Column:
     """struct(status, lower, upper, depth): KNOWN, RANGE or UNKNOWN; UNKNOWN carries no numbers."""
     to = F.least(donor["least"], recipient["least"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairstone.operators import consolidate, decisions, scoring
+from pairstone.operators import consolidate, decisions, gold, scoring
 from pairstone.plans.registry import query
 from pairstone.sources.facts import FACTS_SQL, facts
 
@@ -54,13 +54,47 @@ def gold_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate.conflicts(facts(spark, sf_dir))
 
 
-@query(
-    """SELECT unnest(['one_route_for_each_field', 'fact_has_value', 'fact_value_is_in_source', 'fact_is_unanimous', 'conflict_has_two_values',
- 'counters_add_up', 'profile_is_not_empty', 'every_profile_is_routed', 'unknown_has_a_state', 'document_is_in_one_profile']) AS "check", 0 AS violations"""
-)
+_GOLD = f"""{WITH} {ROUTED},
+fact_of AS (SELECT r.profile, r.field, r.digest, r.value, f.field || ':' || CASE WHEN split_part(f.source, '|', 1) <> '' THEN split_part(f.source, '|', 1) ELSE split_part(f.rule_id, '/', 1) END AS evidence
+    FROM routed r JOIN facts f ON f.profile = r.profile AND f.field = r.field AND f.digest = r.digest WHERE r.route = 'fact'),
+tiered AS (SELECT profile, field, digest, value, CASE WHEN evidence LIKE '%:grid' THEN 'A' WHEN evidence LIKE '%:row' THEN 'B' ELSE 'C' END AS tier FROM fact_of),
+docs AS (SELECT DISTINCT f.profile, f.digest, f.digest = r.representative AS representative FROM facts f JOIN reps r USING (profile)),
+wide AS (SELECT profile, max(value) FILTER (field = 'A') AS a, max(value) FILTER (field = 'B') AS b, max(value) FILTER (field = 'DRB1') AS d FROM routed WHERE route = 'fact' GROUP BY profile),
+keyed AS (SELECT profile, min(profile) OVER (PARTITION BY a, b, d) AS low FROM wide WHERE a IS NOT NULL AND b IS NOT NULL AND d IS NOT NULL),
+candidates AS (SELECT low, CASE WHEN profile % 3 = 0 THEN -1 ELSE profile END AS high FROM keyed WHERE profile > low),
+documents_ AS (SELECT profile, digest, CASE WHEN profile % 53 = 2 THEN false ELSE representative END AS representative FROM docs WHERE profile % 47 <> 9 UNION ALL SELECT profile + 1, digest, profile % 82 = 3 FROM docs WHERE profile % 41 = 3),
+gold AS (SELECT profile, field, digest, CASE WHEN profile % 31 = 2 THEN value || 'x' ELSE value END AS value, CASE WHEN profile % 37 = 5 THEN 'Z' ELSE tier END AS tier FROM tiered),
+profiles AS (SELECT r.profile, CASE WHEN r.profile % 59 = 1 THEN 'none' ELSE r.representative END AS representative, (SELECT count(*) FROM docs d WHERE d.profile = r.profile) + (r.profile % 29 = 4)::INT AS n_documents,
+    (SELECT count(*) FROM tiered t WHERE t.profile = r.profile) AS n_facts, CASE WHEN r.profile % 43 = 6 THEN 'CLAIMED' ELSE 'HISTORICAL_UNCLAIMED' END AS status FROM reps r),
+review AS (SELECT profile, field FROM routed WHERE route = 'review' UNION ALL SELECT profile, field FROM tiered WHERE profile % 61 = 8),
+clash AS (SELECT profile, field FROM routed WHERE route = 'conflict' UNION ALL SELECT profile, field FROM tiered WHERE profile % 61 = 8 AND field = 'B'),
+resolved AS (SELECT digest, field, value FROM facts WHERE status = 'RESOLVED')"""
+_GOLD_CHECKS = {
+    "own_representative": "(SELECT representative FROM profiles GROUP BY 1 HAVING count(*) > 1)",
+    "document_in_one_profile": "(SELECT digest FROM documents_ GROUP BY 1 HAVING count(*) > 1)",
+    "every_document_is_there": "(SELECT DISTINCT digest FROM facts WHERE digest NOT IN (SELECT digest FROM documents_))",
+    "one_representative_each": "(SELECT profile FROM documents_ WHERE representative GROUP BY 1 HAVING count(*) <> 1)",
+    "no_profile_without_representative": "(SELECT profile FROM profiles WHERE profile NOT IN (SELECT profile FROM documents_ WHERE representative))",
+    "fact_is_no_conflict": "(SELECT * FROM gold g WHERE EXISTS (SELECT 1 FROM clash c WHERE c.profile = g.profile AND c.field = g.field))",
+    "fact_is_not_in_review": "(SELECT * FROM gold g WHERE EXISTS (SELECT 1 FROM review c WHERE c.profile = g.profile AND c.field = g.field))",
+    "fact_names_its_document": "(SELECT * FROM gold g WHERE NOT EXISTS (SELECT 1 FROM documents_ d WHERE d.profile = g.profile AND d.digest = g.digest))",
+    "fact_has_a_tier": "(SELECT * FROM gold WHERE tier NOT IN ('A', 'B', 'C'))",
+    "profile_is_unclaimed": "(SELECT * FROM profiles WHERE status <> 'HISTORICAL_UNCLAIMED')",
+    "candidates_survive": "(SELECT DISTINCT low, high FROM candidates WHERE low NOT IN (SELECT profile FROM profiles) OR high NOT IN (SELECT profile FROM profiles))",
+    "candidates_differ": "(SELECT * FROM candidates WHERE low = high)",
+    "candidates_share_no_document": "(SELECT c.low, c.high, d.digest FROM candidates c JOIN (SELECT DISTINCT profile, digest FROM documents_) d ON d.profile = c.low JOIN (SELECT DISTINCT profile, digest FROM documents_) e ON e.profile = c.high AND e.digest = d.digest)",
+    "counters_are_right": "(SELECT * FROM profiles p WHERE n_documents <> (SELECT count(*) FROM documents_ d WHERE d.profile = p.profile) OR n_facts <> (SELECT count(*) FROM gold g WHERE g.profile = p.profile))",
+    "no_profile_is_empty": "(SELECT * FROM profiles WHERE profile NOT IN (SELECT profile FROM documents_))",
+    "representative_is_its_own": "(SELECT * FROM profiles p WHERE NOT EXISTS (SELECT 1 FROM documents_ d WHERE d.profile = p.profile AND d.digest = p.representative))",
+    "value_is_the_source_s": "(SELECT * FROM gold g LEFT JOIN resolved s ON s.digest = g.digest AND s.field = g.field WHERE s.value IS NULL OR s.value <> g.value)",
+}
+
+
+@query(_GOLD + " UNION ALL ".join(f"SELECT '{k}' AS \"check\", count(*) AS violations FROM {v}" for k, v in _GOLD_CHECKS.items()))
 def gold_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The invariants of a store with faults of every kind: each count is what was broken."""
     store = facts(spark, sf_dir)
-    return consolidate.checks(store, consolidate.routed(store))
+    return gold.violations(gold.damaged(gold.build(store)), store)
 
 
 @query(

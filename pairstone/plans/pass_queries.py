@@ -60,11 +60,11 @@ def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passes.dangling(lines, orders, "l_orderkey")
 
 
-@query(f"WITH x AS (SELECT 1) {CODES} {FIELDS} SELECT least(a // 8, b // 8) AS low, greatest(a // 8, b // 8) AS high, count(*) AS pairs FROM (SELECT a * 5 AS a, b * 5 AS b FROM judged WHERE verdict <> 'accepted') WHERE a // 8 <> b // 8 GROUP BY ALL")
+@query(f"WITH x AS (SELECT 1) {CODES} {FIELDS} SELECT least(a, b) AS low, greatest(a, b) AS high, count(*) AS pairs FROM (SELECT (a + 7) // 8 AS a, (b + 7) // 8 AS b FROM judged WHERE verdict <> 'accepted') WHERE a <> b GROUP BY ALL")
 def media_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = codes(spark, sf_dir)
     refused = linkage.veto(linkage.hamming_pairs(rows), fields_of(rows)).where("verdict <> 'accepted'")
-    return passes.carried_conflicts(refused, rows.select("id", F.floor(F.col("id") * 5 / 8).alias("profile")))
+    return passes.carried_conflicts(refused, rows.select("id", F.floor((F.col("id") + 7) / 8).alias("profile")))
 
 
 @query(f"WITH {MESSAGES_SQL}, m AS (SELECT page, substr(body, 1, 1500) AS body, row_number() OVER (PARTITION BY page ORDER BY sent_at, message_id) AS place, count(*) OVER (PARTITION BY page) AS \"of\" FROM messages) SELECT * FROM m WHERE place <= 60")

@@ -7,12 +7,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _named(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+
+
+def _master(spark: SparkSession) -> str:
+    return spark.sparkContext.master
+
+
 def folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Without that setting only a session on one machine may go on, in a folder of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    named, master = _named(spark), _master(spark)
     if named:
         return named.rstrip("/")
-    master = spark.sparkContext.master
     if master == "local" or master.startswith("local["):
         return "file:///tmp/pairstone-checkpoints"
     raise ValueError(f"spark.checkpoint.dir is not set: the executors of {master} need a shared folder for intermediate tables")

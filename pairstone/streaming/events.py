@@ -21,18 +21,23 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-def hourly(stream: DataFrame) -> DataFrame:
-    """Counts and sums by hour and type; rows more than a day late are dropped."""
-    timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 day")
+def hourly(stream: DataFrame, late: str = "1 day") -> DataFrame:
+    """Counts and sums by hour and type. In append mode an hour is final once the watermark has passed it, and rows that come later are dropped; in complete mode every row counts."""
+    timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
     return timed.groupBy(F.window("at", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 def run(spark: SparkSession, result: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all files there are and return what its sink holds."""
-    name = f"pairstone_{uuid.uuid4().hex}"
-    query = result.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", new_path(spark, "stream")).start()
+    """Run a stream over all files there are; its rows go to a table in the shared folder, whole batches at a time, which is read back."""
+    path = new_path(spark, "stream-table")
+
+    def write(batch: DataFrame, number: int) -> None:
+        # In complete mode a batch is the whole result; otherwise a batch that runs again replaces itself.
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+
+    query = result.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", new_path(spark, "stream")).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(result.schema).parquet(path)
 
 
 def upsert_into(path: str, keys: list[str], hash_column: str) -> Callable[[DataFrame, int], None]:

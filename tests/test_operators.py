@@ -1,11 +1,15 @@
 """Consolidation, messages, linkage, decision layers, readers, streams on small hand-made tables."""
 
+import datetime
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from pairstone.functions import cards, readers
-from pairstone.operators import consolidate, decisions, linkage, messages, scoring
-from pairstone.sources import pages
+from pairstone import shared
+from pairstone.functions import cards, glyphs, readers
+from pairstone.operators import consolidate, decisions, gold, linkage, matching, messages, scoring
+from pairstone.sources import pages, strict
 from pairstone.sources.facts import facts
 from pairstone.streaming import events
 
@@ -24,13 +28,12 @@ def test_routes(spark):
 
 
 def test_checks_find_corruption(spark):
-    store = facts(spark, SF)
-    route = consolidate.routed(store)
-    assert consolidate.checks(store, route).agg(F.sum("violations")).first()[0] == 0
-    broken = route.withColumn("value", F.when(F.col("route") == "fact", F.lit("A*99")).otherwise(F.col("value")))
-    found = {r.check: r.violations for r in consolidate.checks(store, broken.unionByName(broken.limit(5))).collect()}
-    assert found["fact_value_is_in_source"] > 0
-    assert found["one_route_for_each_field"] > 0
+    """A sound store breaks no invariant; a store with every kind of fault breaks nearly all of them."""
+    rows = facts(spark, SF)
+    store = gold.build(rows)
+    assert {r.check: r.violations for r in gold.violations(store, rows).collect() if r.violations} == {}
+    found = {r.check: r.violations for r in gold.violations(gold.damaged(store), rows).collect()}
+    assert len(found) == 17 and {k for k, v in found.items() if not v} <= {"candidates_differ", "candidates_share_no_document", "candidates_survive", "own_representative"}
 
 
 def test_sender_is_carried_until_a_service_row(spark):
@@ -132,3 +135,82 @@ def test_stream_upsert_replays(spark, tmp_path):
         merge(spark.createDataFrame(batches[number], schema), number)
     got = {r.k: (r.content_hash, r.first_seen, r.last_seen) for r in spark.read.parquet(str(tmp_path / "t/2")).collect()}
     assert got == {1: ("a", 1, 3), 2: ("B", 2, 2), 3: ("c", 2, 2)}
+
+
+def test_a_row_behind_the_watermark_is_dropped(spark, tmp_path):
+    """Two files in two batches: the second holds a row far behind the first's latest, and an hour that is not final yet stays open."""
+    rows = lambda *x: spark.createDataFrame([(datetime.datetime.fromisoformat(t), "a", v) for t, v in x], "ts timestamp, event_type string, value double").coalesce(1)
+    source = f"{tmp_path}/in"
+    rows(("2024-01-01T00:10:00", 1.0), ("2024-01-01T05:00:00", 2.0)).write.parquet(source)
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).parquet(source)
+    result = events.hourly(stream, "1 hour")
+    path = f"{tmp_path}/out"
+
+    def once():
+        query = result.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    once()
+    rows(("2024-01-01T00:20:00", 100.0), ("2024-01-01T09:00:00", 3.0)).write.mode("append").parquet(source)
+    once()
+    got = {(r.window.start.hour, r.total) for r in spark.read.parquet(path).collect()}
+    assert got == {(0, 1.0), (5, 2.0)}
+
+
+def test_intermediate_tables_need_a_shared_folder(spark, monkeypatch):
+    monkeypatch.setattr(shared, "_named", lambda _: None)
+    assert shared.folder(spark).startswith("file:")  # one machine
+    monkeypatch.setattr(shared, "_master", lambda _: "spark://host:7077")
+    with pytest.raises(ValueError, match="shared folder"):
+        shared.folder(spark)
+
+
+def test_narrow_bands_lose_no_pair(spark):
+    rnd = random.Random(5)
+    codes = [rnd.getrandbits(64) for _ in range(150)]
+    for c in codes[:100]:
+        for _ in range(2):
+            near = c
+            for bit in rnd.sample(range(64), rnd.randint(0, 5)):
+                near ^= 1 << bit
+            codes.append(near)
+    want = {(i, j) for j in range(len(codes)) for i in range(j) if bin(codes[i] ^ codes[j]).count("1") <= 4}
+    rows = spark.createDataFrame([(i, c - (1 << 64) if c >> 63 else c) for i, c in enumerate(codes)], "id int, code long")
+    assert {(r.a, r.b) for r in linkage.hamming_pairs(rows).collect()} == want
+
+
+def test_strict_tables(spark, tmp_path):
+    def at(name, text):
+        (tmp_path / name).write_text(text)
+        return f"file://{tmp_path}/{name}"
+
+    good = at("v.json", '{"schema": "families/v1", "release": "1", "families": {"A": ["01"]}}')
+    assert strict.vocabulary(spark, good).families == {"A": ["01"]}
+    policy = '{"schema": "policy/v1", "policy_id": "p", "first": {"A": 1}, "second": {"A": 2}, "gate_full": 10, "gate_half": 5, "scored": ["A"], "buckets": ["x"]}'
+    assert strict.policy(spark, at("p.json", policy)).first == {"A": 1}
+    rates = '{"schema": "rates/v1", "rates": [{"locus": "A", "rate": 0.5}]}'
+    assert [tuple(r) for r in strict.rows_of(spark, at("r.json", rates), "locus string, rate double", "rates/v1", "rates").collect()] == [("A", 0.5)]
+    bad = [good.replace("v.json", "none.json"), at("b1.json", "{"), at("b2.json", '{"schema": "families/v2", "release": "1", "families": {"A": ["01"]}}'), at("b3.json", '{"schema": "families/v1", "families": {"A": ["01"]}}'), at("b4.json", '{"schema": "families/v1", "release": "1", "families": {"A": []}}')]
+    for path in bad:
+        with pytest.raises(strict.TableUnavailable):
+            strict.vocabulary(spark, path)
+    with pytest.raises(strict.TableUnavailable):
+        strict.policy(spark, at("p2.json", policy.replace('"scored": ["A"]', '"scored": ["A", "B"]')))
+    with pytest.raises(strict.TableUnavailable):
+        strict.rows_of(spark, at("r2.json", rates.replace("0.5", "null")), "locus string, rate double", "rates/v1", "rates")
+
+
+def test_wrong_side_is_refused(spark):
+    rows = matching.profiles(spark, SF)
+    with pytest.raises(Exception, match="recipient"):
+        matching.of_side(rows, "R").count()
+    assert matching.of_side(rows.where("side = 'R'"), "R").count() == 150
+
+
+@pytest.mark.parametrize(
+    ("token", "want"),
+    [("A*02", "A*02"), ("HLA-DRB1*15:O1", "DRB1*15:01"), ("8*44", "B*44"), ("Cw*07", "C*07"), ("ALL", None), ("BIS", None), ("B35", "B*35"), ("10S", None), ("DOB1*03", "DQB1*03"), ("D0B1*03", None), ("DRB1", None), ("*02", "02"), ("XX*02", None), ("A*02N", None), ("A*24:02N", "A*24:02N"), ("A*2", None), ("", None)],
+)
+def test_single_tokens(token, want):
+    found = glyphs.read_allele(token)
+    assert (found.text() if found else None) == want
