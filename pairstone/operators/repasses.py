@@ -163,5 +163,27 @@ def longest_run(flags: Column) -> Column:
     return F.aggregate(flags, start, step, lambda acc: acc["most"])
 
 
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)
+def open_fields(cells: DataFrame) -> DataFrame:
+    """digest, open_fields: the fields of each document among the given cells."""
+    return cells.groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set("field")), ",").alias("open_fields"))
+
+
+def blind(rows: DataFrame, tasks: str, hidden: str) -> None:
+    """Write a draw as tasks that lack what was read, and what was read in a table of its own."""
+    rows.select("cell", "field").write.parquet(tasks)
+    rows.select("cell", "value", "status").write.parquet(hidden)
+
+
+def by_priority(keys: DataFrame, sources: list[DataFrame], key: str, otherwise: dict) -> DataFrame:
+    """keys with the columns of the first source that has the key; sources have the key once."""
+    named = [s.select(key, F.struct(*otherwise).alias(f"s{i}")) for i, s in enumerate(sources)]
+    joined = reduce(lambda a, b: a.join(b, key, "left"), named, keys)
+    first = F.coalesce(*[F.col(f"s{i}") for i in range(len(sources))])
+    return joined.select(key, *[F.coalesce(first[c], F.lit(v)).alias(c) for c, v in otherwise.items()])
+
+
+def rescored(rows: DataFrame, confirmed: int, unconfirmed: int) -> DataFrame:
+    """Adds the verdict that a comparison's cost gives under these bounds; a cell without a reading has none."""
+    cost = F.col("cost")
+    verdict = F.when(F.col("value").isNull(), "NONE").when(cost <= confirmed, "CONFIRMED").when(cost <= unconfirmed, "UNCONFIRMED").otherwise("CONTRADICTED")
+    return rows.withColumn("verdict", verdict)

@@ -371,3 +371,64 @@ def schema_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.append_evolving(rows.where("profile % 2 = 0").select("profile", "field", "value"), path)
     sinks.append_evolving(rows.where("profile % 2 = 1").select("profile", "field", "status"), path)
     return spark.read.option("mergeSchema", True).parquet(path).groupBy("field").agg(F.count("*").alias("rows"), F.count("status").alias("with_status"), F.count("value").alias("with_value"))
+
+
+@query(f"{WITH}, o AS (SELECT digest, list_sort(list_distinct(list(field) FILTER (status <> 'RESOLVED' AND reason IN ('empty cell', 'too many boxes')))) AS open FROM facts GROUP BY digest) SELECT digest, array_to_string(open, ',') AS open_fields FROM o WHERE len(open) > 0")
+def unresolved_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is still open on each document, for reasons that a further pass could mend."""
+    wanted = (F.col("status") != "RESOLVED") & F.col("reason").isin("empty cell", "too many boxes")
+    return repasses.open_fields(facts(spark, sf_dir).where(wanted))
+
+
+_TASKS = "sha256('pairstone|' || digest || '|' || field)"
+
+
+@query(f"{WITH}, t AS (SELECT left({_TASKS}, 16) AS cell, field, value, status FROM facts) SELECT cell, field, false AS shows_value FROM t UNION ALL SELECT cell, coalesce(value, status), true FROM t")
+def blind_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables of one draw: tasks without what was read, and what was read under the same cell ids."""
+    rows = facts(spark, sf_dir).withColumn("cell", F.left(F.sha2(F.concat_ws("|", F.lit("pairstone"), "digest", "field"), 256), F.lit(16)))
+    tasks, hidden = new_path(spark, "tasks"), new_path(spark, "hidden")
+    repasses.blind(rows, tasks, hidden)
+    shown, kept = spark.read.parquet(tasks), spark.read.parquet(hidden)
+    assert shown.columns == ["cell", "field"]
+    return shown.select("cell", "field", F.lit(False).alias("shows_value")).unionByName(kept.select("cell", F.coalesce("value", "status").alias("field"), F.lit(True).alias("shows_value")))
+
+
+@query(
+    f"""{WITH}, p AS (SELECT DISTINCT digest, profile FROM facts) SELECT digest, CASE WHEN profile % 3 = 0 THEN 'level' WHEN profile % 4 = 0 THEN 'raw' ELSE 'none' END AS frame,
+       CASE WHEN profile % 3 = 0 THEN profile % 7 WHEN profile % 4 = 0 THEN profile % 5 ELSE 0 END AS tilt, profile % 13 = 4 AS sideways FROM p"""
+)
+def page_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of each page, from the first of several passes that measured it; pages that none measured are level."""
+    pages = facts(spark, sf_dir).select("digest", "profile").distinct()
+    level = pages.where("profile % 3 = 0").select("digest", F.lit("level").alias("frame"), (p() % 7).alias("tilt"))
+    raw = pages.where("profile % 4 = 0").select("digest", F.lit("raw").alias("frame"), (p() % 5).alias("tilt"))
+    sideways = pages.where("profile % 13 = 4").select("digest", F.lit(True).alias("sideways"))
+    found = repasses.by_priority(pages.select("digest"), [level, raw], "digest", {"frame": "none", "tilt": 0})
+    return found.join(sideways, "digest", "left").select("digest", "frame", "tilt", F.coalesce("sideways", F.lit(False)).alias("sideways"))
+
+
+@query(f"{WITH}, h AS (SELECT digest, bool_or(field = 'ROLE' AND regexp_matches(coalesce(value, ''), '^ROLE\*0[12]$')) AS clean FROM facts GROUP BY digest) SELECT f.profile, f.digest, f.field FROM facts f JOIN h USING (digest) WHERE clean")
+def clean_header_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of pages whose header reads exactly as printed."""
+    rows = facts(spark, sf_dir)
+    clean = rows.where((F.col("field") == "ROLE") & F.col("value").rlike(r"^ROLE\*0[12]$")).select("digest").distinct()
+    return rows.join(clean, "digest", "left_semi").select(*KEY)
+
+
+@query(f"{WITH} {_ENGINES}, t AS (SELECT f.field, f.status, f.value, a.reading FROM facts f LEFT JOIN agreed a ON a.profile = f.profile AND a.digest = f.digest AND a.field = f.field WHERE f.digest IN (SELECT digest FROM facts WHERE field = 'ROLE' AND status = 'RESOLVED')) SELECT field, count(*) AS cells, count(*) FILTER (status = 'RESOLVED') AS accepted, count(*) FILTER (status = 'RESOLVED' AND value = reading) AS right, round(count(*) FILTER (status = 'RESOLVED' AND value = reading) / nullif(count(*) FILTER (status = 'RESOLVED' AND reading IS NOT NULL), 0), 6) AS share FROM t GROUP BY field")
+def gate_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a gate accepts on trusted pages, and how much of it two families read alike."""
+    rows = facts(spark, sf_dir)
+    trusted = rows.where("field = 'ROLE' AND status = 'RESOLVED'").select("digest").distinct()
+    joined = rows.join(trusted, "digest", "left_semi").join(repasses.agreed(_readings(rows)).drop("families"), KEY, "left")
+    accepted = F.col("status") == "RESOLVED"
+    right, known = F.count_if(accepted & (F.col("value") == F.col("reading"))), F.count_if(accepted & F.col("reading").isNotNull())
+    return joined.groupBy("field").agg(F.count("*").alias("cells"), F.count_if(accepted).alias("accepted"), right.alias("right"), F.round(F.try_divide(right, known), 6).alias("share"))
+
+
+@query(f"{WITH}, s AS (SELECT *, (profile * 7 + length(field)) % 5 AS cost FROM facts) SELECT profile, digest, field, CASE WHEN value IS NULL THEN 'NONE' WHEN cost <= 1 THEN 'CONFIRMED' WHEN cost <= 3 THEN 'UNCONFIRMED' ELSE 'CONTRADICTED' END AS verdict FROM s")
+def rescored_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored readings under another comparison rule, without reading anything again."""
+    cost = (p() * 7 + F.length("field")) % 5
+    return repasses.rescored(facts(spark, sf_dir).withColumn("cost", cost), 1, 3).select(*KEY, "verdict")

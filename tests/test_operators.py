@@ -6,9 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pairstone import shared
+from pairstone import cli, shared
 from pairstone.functions import cards, glyphs, readers
-from pairstone.operators import consolidate, decisions, gold, linkage, matching, messages, scoring
+from pairstone.operators import consolidate, decisions, gold, linkage, matching, messages, scoring, sinks
 from pairstone.sources import pages, strict
 from pairstone.sources.facts import facts
 from pairstone.streaming import events
@@ -214,3 +214,20 @@ def test_wrong_side_is_refused(spark):
 def test_single_tokens(token, want):
     found = glyphs.read_allele(token)
     assert (found.text() if found else None) == want
+
+
+def test_command_line(spark, tmp_path, capsys):
+    assert cli.main(["list"], spark) == 0 and "rank_donors" in capsys.readouterr().out.split()
+    assert cli.main(["fully_typed", SF, "--out", f"file://{tmp_path}/x"], spark) == 0
+    assert spark.read.parquet(f"file://{tmp_path}/x").count() > 0
+    with pytest.raises(SystemExit):
+        cli.main(["nothing", SF], spark)
+
+
+def test_a_failed_check_leaves_the_table(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    assert sinks.build_and_swap(spark.range(3), path, lambda df: df.count() == 3)
+    assert not sinks.build_and_swap(spark.range(9), path, lambda df: False)
+    assert spark.read.parquet(path).count() == 3
+    sinks.report(spark.range(2), f"file://{tmp_path}/r")
+    assert spark.read.json(f"file://{tmp_path}/r").count() == 2
