@@ -9,7 +9,12 @@ unconstrained best path.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from pairstone.workers import importable
 
 BLANK = 0
 
@@ -68,3 +73,24 @@ def allele_grammar(families: set[str]) -> tuple[dict[tuple[int, str], int], set[
     for digit in "0123456789":
         steps[colon, digit], steps[one, digit], steps[two, digit] = one, two, three
     return steps, {1, two, three}
+
+
+def decoded(rows: DataFrame, symbols: str, families: set[str]) -> DataFrame:
+    """id, text, cost, free: the best admitted text of rows(id, frames), what the grammar costs, and the unconstrained text.
+
+    text is null where no path is admitted; so is everything where there are no frames. Frames go through in Arrow batches.
+    """
+    importable(rows.sparkSession)
+    steps, accepting = allele_grammar(families)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, cost, free = [], [], []
+            for frames in batch.column("frames").to_pylist():
+                found = constrained(frames, symbols, steps, accepting) if frames else None
+                text.append(found[0] if found else None)
+                cost.append(found[1] if found else None)
+                free.append(greedy(frames, symbols)[0] if frames else None)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(text, pa.string()), pa.array(cost, pa.float64()), pa.array(free, pa.string())], names=["id", "text", "cost", "free"])
+
+    return rows.select("id", "frames").mapInArrow(run, "id long, text string, cost double, free string")

@@ -187,3 +187,16 @@ def rescored(rows: DataFrame, confirmed: int, unconfirmed: int) -> DataFrame:
     cost = F.col("cost")
     verdict = F.when(F.col("value").isNull(), "NONE").when(cost <= confirmed, "CONFIRMED").when(cost <= unconfirmed, "UNCONFIRMED").otherwise("CONTRADICTED")
     return rows.withColumn("verdict", verdict)
+
+
+def gene_verdict(gene: Column, reading: Column) -> Column:
+    """CONFIRMED or CONTRADICTED by the digits 3 to 5 that stand alone in a reading; UNCONFIRMED where it has none."""
+    found = F.regexp_extract_all(F.coalesce(reading, F.lit("")), F.lit("(?<![0-9])([345])(?![0-9])"), F.lit(1))
+    return F.when(F.size(found) == 0, "UNCONFIRMED").when(F.array_contains(found, gene), "CONFIRMED").otherwise("CONTRADICTED")
+
+
+def proposal(locus: Column, reading: Column, families: Column) -> Column:
+    """One or two admissible families of a reading under their locus's name, else null."""
+    parts = F.filter(F.split(F.coalesce(reading, F.lit("")), r"\s+"), lambda x: x != "")
+    fit = F.size(parts).between(1, 2) & F.forall(parts, lambda x: F.array_contains(families, x))
+    return F.when(fit, F.array_join(F.transform(parts, lambda x: F.concat(locus, F.lit("*"), x)), " "))

@@ -79,3 +79,13 @@ def append_evolving(df: DataFrame, path: str) -> None:
 def report(df: DataFrame, path: str) -> None:
     """A report of few rows as JSON lines in one file: aggregates, never the table itself."""
     df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def insert_or_ignore(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """The stored rows and those of the batch whose keys are new; of a key that the batch has twice, any row."""
+    return stored.unionByName(batch.dropDuplicates(keys).join(stored.select(keys), keys, "left_anti"))
+
+
+def insert_or_replace(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """The batch, and the stored rows whose keys it lacks."""
+    return insert_or_ignore(batch.dropDuplicates(keys), stored, keys)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairstone.functions import alleles
-from pairstone.operators import matching, repasses, scoring, sinks
+from pairstone.operators import decode, matching, repasses, scoring, sinks
 from pairstone.plans import matching_sql
 from pairstone.plans.fact_queries import LABELS
 from pairstone.plans.registry import query
@@ -432,3 +432,91 @@ def rescored_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored readings under another comparison rule, without reading anything again."""
     cost = (p() * 7 + F.length("field")) % 5
     return repasses.rescored(facts(spark, sf_dir).withColumn("cost", cost), 1, 3).select(*KEY, "verdict")
+
+
+_SYMBOLS, _FAMILIES = "0123456789:", {"02", "24", "68"}
+
+
+@query(
+    """WITH w AS (SELECT p_partkey AS id, (['02', '24:02', '68', '60', '24:101'])[p_partkey % 5 + 1] AS word, p_partkey % 3 = 1 AS blurred FROM part)
+SELECT id, CASE WHEN word = '60' THEN '68' ELSE word END AS text, CASE WHEN word = '60' THEN 9.0 ELSE 0.0 END + CASE WHEN blurred THEN 0.25 ELSE 0.0 END AS cost, CASE WHEN blurred THEN '7' || word[2:] ELSE word END AS free FROM w"""
+)
+def constrained_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames made from a text, of which the first symbol is sometimes read better as another: the grammar brings the text back, at a cost."""
+    k = F.col("p_partkey")
+    word = _pick(k % 5, ["02", "24:02", "68", "60", "24:101"])
+    letters = F.filter(F.split(word, ""), lambda c: c != "")
+    # Log scores: the printed symbol 0, all others -9; a frame of blanks between symbols. A blurred first frame prefers a 7.
+    score = lambda c, i: F.transform(F.array(*map(F.lit, _SYMBOLS)), lambda s: F.when((i == 0) & (k % 3 == 1), F.when(s == "7", 0.0).when(s == c, -0.25).otherwise(-9.0)).otherwise(F.when(s == c, 0.0).otherwise(-9.0)))
+    blank = F.array(F.lit(0.0), *[F.lit(-9.0)] * len(_SYMBOLS))
+    frames = F.flatten(F.transform(letters, lambda c, i: F.array(F.concat(F.array(F.lit(-9.0)), score(c, i)), blank)))
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), frames.alias("frames"))
+    return decode.decoded(rows, _SYMBOLS, _FAMILIES).select("id", "text", F.round("cost", 6).alias("cost"), "free")
+
+
+@query(
+    """WITH i AS (SELECT p_partkey AS id, 3 + p_partkey % 3 AS gene, (['DRB3', '4', 'drb 5', 'S', '34', NULL])[p_partkey % 6 + 1] AS reading FROM part)
+SELECT id, CASE WHEN reading IS NULL OR reading IN ('S', '34') THEN 'UNCONFIRMED' WHEN right(reading, 1) = gene::VARCHAR THEN 'CONFIRMED' ELSE 'CONTRADICTED' END AS verdict FROM i"""
+)
+def gene_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a second reading names the gene: digits that stand alone count, an S alone has no opinion."""
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), (3 + k % 3).cast("string").alias("gene"), _pick(k % 6, ["DRB3", "4", "drb 5", "S", "34", None]).alias("reading"))
+    return rows.select("id", repasses.gene_verdict(F.col("gene"), F.col("reading")).alias("verdict"))
+
+
+@query(
+    """WITH i AS (SELECT p_partkey AS id, (['02', '02 24', '02 24 68', '99', '02 99', ''])[p_partkey % 6 + 1] AS reading FROM part)
+SELECT id, CASE reading WHEN '02' THEN 'A*02' WHEN '02 24' THEN 'A*02 A*24' END AS proposal FROM i"""
+)
+def proposal_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reading as a value to propose: one or two families of the locus, named by it; anything else proposes nothing."""
+    reading = _pick(F.col("p_partkey") % 6, ["02", "02 24", "02 24 68", "99", "02 99", ""])
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), repasses.proposal(F.lit("A"), reading, F.array(*map(F.lit, sorted(_FAMILIES)))).alias("proposal"))
+
+
+@query("WITH s AS (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_partkey % 2 = 0), i AS (SELECT p_partkey AS k, p_size + 1 AS v FROM part WHERE p_partkey % 3 = 0) SELECT coalesce(s.k, i.k) AS k, coalesce(s.v, i.v) AS ignored, coalesce(i.v, s.v) AS replaced FROM s FULL JOIN i ON s.k = i.k")
+def insert_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch inserted where its keys are new (the stored row stays), and inserted over what was there."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v"))
+    stored, batch = rows.where("k % 2 = 0"), rows.where("k % 3 = 0").withColumn("v", F.col("v") + 1)
+    ignored, replaced = sinks.insert_or_ignore(stored, batch, ["k"]), sinks.insert_or_replace(stored, batch, ["k"])
+    return ignored.withColumnRenamed("v", "ignored").join(replaced.withColumnRenamed("v", "replaced"), "k")
+
+
+_ROLES = "(['DONOR', 'RECIPIENT', 'UNKNOWN'])[key % 3 + 1]"
+
+
+@query(f"WITH p AS (SELECT c_custkey AS key, {_ROLES.replace('key', 'c_custkey')} AS role, c_nationkey AS place FROM customer) SELECT r.place, count(*) AS pairs FROM p d JOIN p r ON d.place = r.place AND d.key <> r.key WHERE d.role IN ('DONOR', 'UNKNOWN') AND r.role IN ('RECIPIENT', 'UNKNOWN') GROUP BY r.place")
+def eligible_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one pool whose roles allow them, nobody with themselves: counted by roles, no pair is made."""
+    key = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(_pick(key % 3, ["DONOR", "RECIPIENT", "UNKNOWN"]).alias("role"), F.col("c_nationkey").alias("place"))
+    n = lambda *roles: F.count_if(F.col("role").isin(*roles))
+    per = rows.groupBy("place").agg((n("DONOR", "UNKNOWN") * n("RECIPIENT", "UNKNOWN") - n("UNKNOWN")).alias("pairs"))
+    return per.where("pairs > 0")
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 4 <> 3 THEN sha256('file ' || (p_partkey % 100)) END AS digest FROM part")
+def path_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of each attachment's file, by its path; files that aren't there have none."""
+    k = F.col("p_partkey")
+    path = lambda n: F.concat(F.lit("photos/"), n.cast("string"), F.lit(".jpg"))
+    files = table(spark, sf_dir, "part").where("p_partkey % 4 <> 3").select(path(k).alias("path"), F.sha2(F.concat(F.lit("file "), (k % 100).cast("string")), 256).alias("digest"))
+    return table(spark, sf_dir, "part").select(k.alias("id"), path(k).alias("path")).join(files, "path", "left").select("id", "digest")
+
+
+@query(f"{WITH}, v AS (SELECT profile, field, value, count(*) AS n FROM facts WHERE status = 'RESOLVED' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY profile, field ORDER BY n DESC, value) AS nth, count(*) OVER (PARTITION BY profile, field) AS kinds FROM v) SELECT profile, field, max(value) FILTER (nth = 1) AS first, max(value) FILTER (nth = 2) AS second, any_value(kinds) = 2 AS two_way FROM r GROUP BY profile, field HAVING any_value(kinds) >= 2")
+def two_way_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields whose answers split, with the two commonest, and whether there are just two."""
+    votes = facts(spark, sf_dir).where("status = 'RESOLVED'").groupBy("profile", "field", "value").agg(F.count("*").alias("n"))
+    kinds = votes.groupBy("profile", "field").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "value"))).alias("v")).where(F.size("v") >= 2)
+    return kinds.select("profile", "field", F.col("v")[0]["value"].alias("first"), F.col("v")[1]["value"].alias("second"), (F.size("v") == 2).alias("two_way"))
+
+
+@query(f"{WITH} {LABELS} SELECT field, count(*) FILTER (outcome = 'CORRECT') AS correct, count(*) FILTER (outcome = 'FALSE_ACCEPTANCE') AS wrong, count(*) FILTER (outcome IN ('MISSED', 'CORRECT_ABSTENTION')) AS silent FROM outcomes WHERE field IN ('ABO', 'RH', 'ROLE') GROUP BY field")
+def document_field_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, sign and role of documents against their labels."""
+    rows = scoring.labelled(facts(spark, sf_dir)).where(F.col("field").isin("ABO", "RH", "ROLE")).withColumn("outcome", scoring.outcome())
+    of = lambda *x: F.count_if(F.col("outcome").isin(*x))
+    return rows.groupBy("field").agg(of("CORRECT").alias("correct"), of("FALSE_ACCEPTANCE").alias("wrong"), of("MISSED", "CORRECT_ABSTENTION").alias("silent"))
