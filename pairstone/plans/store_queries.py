@@ -408,7 +408,7 @@ def page_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(sideways, "digest", "left").select("digest", "frame", "tilt", F.coalesce("sideways", F.lit(False)).alias("sideways"))
 
 
-@query(f"{WITH}, h AS (SELECT digest, bool_or(field = 'ROLE' AND regexp_matches(coalesce(value, ''), '^ROLE\*0[12]$')) AS clean FROM facts GROUP BY digest) SELECT f.profile, f.digest, f.field FROM facts f JOIN h USING (digest) WHERE clean")
+@query(f"{WITH}, h AS (SELECT digest, bool_or(field = 'ROLE' AND regexp_matches(coalesce(value, ''), '^ROLE[*]0[12]$')) AS clean FROM facts GROUP BY digest) SELECT f.profile, f.digest, f.field FROM facts f JOIN h USING (digest) WHERE clean")
 def clean_header_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of pages whose header reads exactly as printed."""
     rows = facts(spark, sf_dir)
