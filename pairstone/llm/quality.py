@@ -150,13 +150,16 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, sample: int = SAM
     if not rows:
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), prior)
     matrix = np.zeros((len(rows), TERMS), np.float32)
+    seen = np.zeros(TERMS, np.int64)
     for row, (_, at, size) in zip(matrix, rows, strict=True):
-        row[np.frombuffer(at, np.uint16)] = np.frombuffer(size, np.float32)
-    idf = (np.log((1 + len(rows)) / (1 + (matrix > 0).sum(0))) + 1).astype(np.float32)
-    basis = leading_directions(weighted(matrix, idf), DIMENSIONS)
-    model = Model(idf, basis, np.zeros((0, 1), np.float32), np.array([label_of[i] for i, _, _ in rows], np.float64), prior)
-    model.vectors = model.project(matrix)
-    return model
+        places = np.frombuffer(at, np.uint16)
+        row[places] = np.frombuffer(size, np.float32)
+        seen[places] += 1
+    idf = (np.log((1 + len(rows)) / (1 + seen)) + 1).astype(np.float32)
+    for i in range(0, len(rows), BLOCK):  # in place: the driver holds the sample's matrix once
+        matrix[i : i + BLOCK] = weighted(matrix[i : i + BLOCK], idf)
+    basis = leading_directions(matrix, DIMENSIONS)
+    return Model(idf, basis, unit(matrix @ basis), np.array([label_of[i] for i, _, _ in rows], np.float64), prior)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
