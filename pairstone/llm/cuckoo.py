@@ -8,7 +8,8 @@ is large, and both its sides are plain exchanges, which AQE splits.
 
 Texts are equal if their UTF-8 bytes are; the content kept in a bucket is the SHA-256 digest with
 the length in bytes. Null counts as the empty text. A null doc_id never stays where its group has
-another row; rows repeated with the same doc_id all stay or all go. An empty table gives no rows.
+another row; rows repeated with the same doc_id (a tie) all stay or all go. An empty table gives no rows. Other columns,
+whatever their names, are not read. Of a text, however long, only the digest and the length leave the scan.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ segments of 255 bytes by lacing values; a packet that fills a page goes on in th
 The reader verifies each page's checksum and sequence number, puts packets together across pages,
 separates the streams by serial number and derives timestamps from granule positions. It raises
 ValueError for damage. Null and empty texts become one block of 64 zero bytes; equal texts give
-equal bytes; doc_id may be null.
+equal bytes, repeated rows each their own; doc_id may be null; an empty table gives no rows; nothing is compared, so there
+are no ties. Other columns, whatever their names, are not read. A very long text is stored whole by the task that holds it.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ relative to the least of the live places. Such sets are the states; the change o
 count is the number of tokens that a transition emits, the rest comes out at the end of the piece.
 
 Null and empty texts have no tokens. Strings of special tokens inside a text count as that one
-token, the library's default. Repeated rows give equal results; doc_id may be null.
+token, the library's default. Repeated rows and texts give equal results, each its own row; doc_id may be null; an empty
+table gives no rows. There are no ties: the merges' ranks differ. Other columns, whatever their names, are not read. A very
+long text is counted whole by the task that holds it, in memory proportional to its length.
 """
 
 from __future__ import annotations
