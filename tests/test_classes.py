@@ -6,7 +6,7 @@ from pairstone.operators import matching
 from pairstone.plans import catalogue
 from test_queries import SF
 
-BY_CLASS = ["level_histogram", "pool_distribution", "explanations", "rank_recipients", "rank_donors"]
+BY_CLASS = ["pool_summary", "level_histogram", "pool_distribution", "explanations", "rank_recipients", "rank_donors"]
 
 
 @pytest.mark.parametrize("name", BY_CLASS)
