@@ -179,6 +179,50 @@ def test_narrow_bands_lose_no_pair(spark):
     assert {(r.a, r.b) for r in linkage.hamming_pairs(rows).collect()} == want
 
 
+PROFILE = "id long, sender string, name_hash string, abo string, role string, A string, B string, C string"
+
+
+def _proposed(one, two, loci, frequency):
+    """The row of a pair by the definition, or None."""
+    x, y = dict(zip(PROFILE.replace(",", "").split()[::2], one, strict=True)), dict(zip(PROFILE.replace(",", "").split()[::2], two, strict=True))
+    if x["id"] is None or y["id"] is None or x["id"] >= y["id"]:
+        return None
+    agree = lambda c: x[c] is not None and x[c] == y[c]
+    clash = lambda c: None not in (x[c], y[c]) and x[c] != y[c]
+    both = [k for k in loci if None not in (x[k], y[k])]
+    chance = 1.0
+    for k in both:
+        chance *= frequency[k]
+    if not both or any(clash(k) for k in loci) or not (agree("sender") or agree("name_hash") or chance <= linkage.CEILING):
+        return None
+    state = "BLOCKED" if clash("abo") or clash("role") else "SAME_SENDER" if agree("sender") else "SAME_NAME" if agree("name_hash") else "REVIEW_CANDIDATE"
+    return x["id"], y["id"], len(both), round(chance, 9), state
+
+
+@pytest.mark.parametrize("frequency", [{"A": 0.004, "B": 0.002, "C": 0.003}, {"A": 0.5, "B": 0.5, "C": 0.5}])
+def test_proposals_by_definition(spark, monkeypatch, frequency):
+    """Classes of many packs, repeated and absent ids, absent values; with the second frequencies only senders and names link."""
+    for name, value in {"PACK": 3, "GATHERED": 7, "DEALT": 500}.items():
+        monkeypatch.setattr(linkage, name, value, raising=False)
+    rnd = random.Random(3)
+    some = lambda *values: rnd.choice([None, *values])
+    rows = [(some(*range(150)), some("s1", "s2", "", "n"), some("n1", "n2", ""), some("O", "O", "A"), rnd.choice(["DONOR", "RECIPIENT"]), some("a", "b"), some("c"), some("d", "e", "")) for _ in range(160)]
+    rows += [(1000 + i, None, None, "O", "DONOR", "a", "c", "d") for i in range(40)]
+    want = sorted(p for x in rows for y in rows if (p := _proposed(x, y, "ABC", frequency)))
+    got = sorted(tuple(r) for r in linkage.proposals(spark.createDataFrame(rows, PROFILE), list("ABC"), frequency).collect())
+    assert got == want and len({p[-1] for p in want}) >= 3
+
+
+def test_no_join_makes_the_proposed_pairs(spark):
+    """Packs of members meet; pairs come of them after the last join and the last exchange."""
+    rows = spark.createDataFrame([(i, f"s{i}", None, "O", "DONOR", "a", "c", "d") for i in range(300)], PROFILE)
+    df = linkage.proposals(rows, list("ABC"), {"A": 0.004, "B": 0.002, "C": 0.003})
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    last = min(plan.index(x) for x in ("Join", "Repartition") if x in plan)
+    assert plan[:last].count("Generate explode") == 2
+    assert df.count() == 300 * 299 // 2
+
+
 def test_strict_tables(spark, tmp_path):
     def at(name, text):
         (tmp_path / name).write_text(text)
